@@ -8,10 +8,10 @@ explicitly allowed, else a block if any is blocked, else the default.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import components, staged, table
 
 Rule = tuple[str, str, str]
 #: (verdict, host, path prefix)
@@ -30,41 +30,28 @@ _REFRESH = r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh)[^>]*content\s*=
 _CANONICAL = r"(?is)<link\b(?=[^>]*rel\s*=\s*[\"']?canonical)[^>]*href\s*=\s*[\"']?([^\"'\s>]+)"
 
 
-def rest(url: Column) -> Column:
-    """What follows the first ``://``; null where there is none."""
-    at = F.locate("://", url)
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+def with_parts(df: DataFrame, url: str, tag: str = "") -> DataFrame:
+    """``df`` with host_, path_ and key_ of a URL column (each name behind ``tag``).
 
-
-def host(url: Column) -> Column:
-    """Up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty for null and for no ``://``."""
-    return F.coalesce(F.translate(F.regexp_extract(rest(url), r"^[^/?#]*", 0), _UPPER, _LOWER), F.lit(""))
-
-
-def path(url: Column) -> Column:
-    """Behind the host, up to ``?``, ``#`` or the end; empty for null and for no ``://``."""
-    return F.coalesce(F.regexp_extract(rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
-
-
-def key(url: Column) -> Column:
-    """The canonical form: host without ``www.``, path without a last ``/`` or ``.html``, query without tracking."""
-    query = F.regexp_replace(F.regexp_extract(rest(url), r"^[^?#]*\?([^#]*)", 1), _TRACKING, "")
-    query = F.regexp_replace(query, "^&+", "")
-    name = F.regexp_replace(host(url), r"^www\.", "")
-    trail = F.regexp_replace(F.regexp_replace(path(url), r"\.html?$", ""), "/+$", "")
-    return F.when(rest(url).isNotNull(), F.concat(name, trail, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
-
-
-def resolved(link: Column, base: Column) -> Column:
-    """An absolute URL from a link on page ``base``."""
-    link = F.trim(F.regexp_replace(link, "&amp;", "&"))
-    site = F.concat(F.lit("x://"), host(base))
-    return (
-        F.when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(F.lit("x:"), link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .when(link != "", F.concat(site, F.regexp_replace(path(base), "[^/]*$", ""), link))
+    host_: behind the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path_: from there up to ``?``,
+    ``#`` or the end; both empty for null and for no ``://``. key_: the canonical form, which has no ``www.``, no last
+    ``/`` or ``.html`` and no tracking parameters; null for null and for no ``://``. Steps are columns of their own, so
+    no expression is evaluated twice.
+    """
+    rest, query, name, trail = (f"{tag}{x}_" for x in ("rest", "query", "name", "trail"))
+    host, path, key = (f"{tag}{x}_" for x in ("host", "path", "key"))
+    at = F.locate("://", F.col(url))
+    df = df.withColumn(rest, F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url))))
+    df = df.withColumns(
+        {
+            host: F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER), F.lit("")),
+            path: F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")),
+            query: F.regexp_replace(F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1), _TRACKING, ""),
+        }
     )
+    df = df.withColumns({name: F.regexp_replace(host, r"^www\.", ""), trail: F.regexp_replace(path, r"(\.html?)?/*$", ""), query: F.regexp_replace(query, "^&+", "")})
+    df = df.withColumn(key, F.when(F.col(rest).isNotNull(), F.concat(name, trail, F.when(F.col(query) != "", F.concat(F.lit("?"), query)).otherwise(""))))
+    return df.drop(rest, query, name, trail)
 
 
 def matched(pages: DataFrame, rules: list[Rule], url: str) -> DataFrame:
@@ -75,7 +62,7 @@ def matched(pages: DataFrame, rules: list[Rule], url: str) -> DataFrame:
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")
-    df = pages.withColumns({"host_": host(F.col(url)), "path_": path(F.col(url))})
+    df = with_parts(pages, url)
     if not rules:
         return df.withColumn("rule_", F.lit(None).cast("struct<size:int,allow:boolean,text:string>"))
     known = F.array(
@@ -88,13 +75,23 @@ def matched(pages: DataFrame, rules: list[Rule], url: str) -> DataFrame:
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b) between the keys of pages and of what they redirect or declare as canonical."""
-    at = F.col(url)
-    found = F.array(F.regexp_extract(F.col(html), _REFRESH, 1), F.regexp_extract(F.col(html), _CANONICAL, 1))
-    # a cheap test keeps the two patterns off pages that hold neither
-    some = F.lower(F.col(html)).rlike("canonical|refresh")
-    rows = pages.where(some).select(key(at).alias("a"), F.explode(found).alias("link"), at.alias("base"))
-    return rows.where("link != ''").select("a", key(resolved(F.col("link"), F.col("base"))).alias("b")).where("a != b")
+    """Edges (a, b) between the keys of pages and of what they redirect to or declare as canonical."""
+    found = F.array(F.regexp_extract("html_", _REFRESH, 1), F.regexp_extract("html_", _CANONICAL, 1))
+    # a cheap test keeps both patterns off pages that hold neither
+    rows = pages.select(F.col(url).alias("from_"), F.col(html).alias("html_")).where(F.col("html_").rlike("(?i)canonical|refresh"))
+    # tables in between, else filters that the optimizer moves down repeat every step of with_parts in each condition
+    rows = staged(rows.select("from_", F.explode(found).alias("link_")), "links").where("link_ != ''")
+    rows = with_parts(rows, "from_")
+    link = F.trim(F.regexp_replace("link_", "&amp;", "&"))
+    site = F.concat(F.lit("x://"), "host_")
+    to = (
+        F.when(F.col("link_").contains("://"), link)
+        .when(F.col("link_").startswith("//"), F.concat(F.lit("x:"), link))
+        .when(F.col("link_").startswith("/"), F.concat(site, link))
+        .otherwise(F.concat(site, F.regexp_replace("path_", "[^/]*$", ""), link))
+    )
+    rows = with_parts(rows.select("key_", to.alias("to_")), "to_", "to_")
+    return staged(rows.select(F.col("key_").alias("a"), F.col("to_key_").alias("b")), "links").where("a != b")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str | None = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -106,11 +103,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
     shuffle; the join back has one row per key on its right, and adaptive execution splits hot keys. Columns of ``pages``
     stay, whatever their names, unless they end in ``_`` like those added.
     """
-    df = matched(pages, rules, url).withColumn("key_", key(F.col(url)))
+    df = matched(pages, rules, url)
     told = df.where("key_ is not null and rule_ is not null").groupBy("key_").agg(F.max(F.col("rule_.allow").cast("int")).alias("allow_"), F.max((~F.col("rule_.allow")).cast("int")).alias("block_"))
     edges = [links(pages, url, html)] if html else []
     if redirects is not None:
-        edges.append(redirects.select(key(F.col("src")).alias("a"), key(F.col("dst")).alias("b")))
+        rows = with_parts(with_parts(redirects.select("src", "dst"), "src", "a_"), "dst", "b_")
+        edges.append(staged(rows.select(F.col("a_key_").alias("a"), F.col("b_key_").alias("b")), "links"))
     groups = None
     if edges:
         both = edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])
