@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.items import Item
+from ..functions.items import AGGREGATES, Item
 from ..functions.refs import And, Between, ColumnRef, Compare, Exists, In, InQuery, IsNull, Not, Or, Order, Predicate, Raw
 
 _COMPARE = {
@@ -66,6 +66,8 @@ class Scope:
         return F.lit(x)
 
     def aggregate(self, x: Item) -> Column:
+        if x.function not in AGGREGATES:
+            raise ValueError(f"{x.function} needs over()")
         if x.function == "count":
             return F.count(F.lit(1) if x.column is None else self.column(x.column))
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[x.function](self.column(x.column))
@@ -74,8 +76,6 @@ class Scope:
         if x.window is None:
             if (name := self.grouped.get(item_key(x, self.main))) is not None:
                 return F.col(quoted(name))
-            if x.function in ("row_number", "rank", "dense_rank", "lag", "lead"):
-                raise ValueError(f"{x.function} needs over()")
             return self.aggregate(x)
         partition, order = x.window
         keys = [self.value(p.key if isinstance(p, Order) else (ColumnRef(None, p) if isinstance(p, str) else p)) for p in partition]
