@@ -11,8 +11,9 @@ MIN_SHARED values, they meet in one of those (the prefix filter). A passage that
 lists stay empty unless a document hardly holds anything else. Sets below K values are kept whole and the bound is exact.
 
 *No list is expanded into all of its pairs.* First each list links its members with its most typical one. Where that joins
-the list to one component, nothing is left. The members of other lists are compared by their sketches in blocks of bounded
-size, of which only plausible pairs come out.
+the list to one component, nothing is left. From other lists go the members that hold too few shingles of others for any
+link (``able``). What remains is compared in blocks of bounded size, by sketches and then by full sets, and a block tells no
+more links than join its components.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ K = 32
 MIN_SHARED = 12
 #: Members of a list that are compared with one another in one task.
 BLOCK = 512
+#: Values that a comparison of a block takes up at a time.
+COLUMNS = 4096
 
 _rng = np.random.Generator(np.random.PCG64(20_240_601))
 _BYTE = _rng.integers(0, 2**64, size=256, dtype=np.uint64)
@@ -158,93 +161,165 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(hits >= shared_at_least(F.size("u"))).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose full sets have a similarity of 0.75 or more. Sets are made anew for the classes in question only."""
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = wanted.join(classes.select("rep", "k1", "k2"), "rep")
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (rep, set) of the classes ``wanted`` (rep, k1, k2), made anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingles(texts_of(part.column(1)))
-                keys = [set_key(s) for s in sets]
                 want = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist()))
-                # an id that several rows carry: only the one that made the class
-                rows = [i for i, (k, w) in enumerate(zip(keys, want)) if k == w]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array([sets[i].tobytes() for i in rows], pa.binary())], ["rep", "set"])
+                # of rows that share an id, only those of the class
+                rows = [i for i, (x, w) in enumerate(zip(sets, want)) if set_key(x) == w]
+                offsets = np.concatenate(([0], np.cumsum([len(sets[i]) for i in rows]))).astype(np.int32)
+                values = np.concatenate([sets[i] for i in rows] or [np.empty(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["rep", "set"])
 
     rows = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2")
-    sets = staged(rows.mapInArrow(run, "rep bigint, set binary").dropDuplicates(["rep"]), "sets")
+    return staged(rows.mapInArrow(run, "rep bigint, set array<bigint>").dropDuplicates(["rep"]), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets have a similarity of 0.75 or more."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = ([np.frombuffer(x, dtype=np.int64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
-            keep = [i for i, (s, x, y) in enumerate(zip(shared, left, right)) if 100 * s >= 75 * (len(x) + len(y) - s)]
+            (x, at), (y, to) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
+            keep = []
+            for i in range(batch.num_rows):
+                p, q = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * shared >= 75 * (len(p) + len(q) - shared):
+                    keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members (value, rep, n, sketch, component, size) of one list, of different components, that may be similar.
+def able(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members (value, rep, n, ...) that can still be linked with another one of their list.
+
+    A link needs an intersection of 3/7 of both sizes together, and only shingles that another member holds can be in it.
+    So a class goes that holds too few such shingles for the smallest partner its list could offer. Copies with many edits
+    of their own go here: there are as many of them as there are copies, and they are linked with few or none.
+    """
+    rows = sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("set").alias("s"))
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("s")
+    held = rows.join(common, "s").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    least = members.groupBy("value").agg(F.min("n").alias("least"))
+    rows = members.join(least, "value").join(held, "rep").where("7 * shared >= 3 * (n + greatest(least, cast(ceil(0.75 * n) as bigint)))")
+    return rows.drop("least")
+
+
+def incidence(values: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Which rows hold which values, as matrices of bounded width; values of one row only are left out."""
+    flat = np.concatenate(values)
+    owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count[inverse] > 1
+    code, owner = (np.cumsum(count > 1) - 1)[inverse[keep]], owner[keep]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        at = slice(*np.searchsorted(code, (lo, lo + COLUMNS)))
+        hold = np.zeros((len(values), COLUMNS), dtype=np.float32)
+        hold[owner[at], code[at] - lo] = 1
+        yield hold
+
+
+def common(values: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections."""
+    out = np.zeros((len(values), len(values)), dtype=np.float32)
+    for hold in incidence(values):
+        out += hold @ hold.T
+    return out
+
+
+def block_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) between members (value, rep, n, sketch, set, component, shared) of one list.
 
     A list of any length is cut into blocks by a hash; every two blocks meet in one group of at most about 2 * BLOCK rows.
+    There sketches rule most pairs out, full sets confirm the others, and of the links found those come out that join
+    components not yet joined: fewer than there are members, and enough to know what links reach.
     """
+    size = members.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumn("of", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"i": F.least("of", "other"), "j": F.greatest("of", "other")})
+    rows = members.join(size, "value").withColumn("of", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"i": F.least("of", "other"), "j": F.greatest("of", "other")}).drop("of", "other", "size")
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.drop_duplicates("rep").sort_values("rep")
-        flat = np.concatenate(df["sketch"].to_numpy())
-        owner = np.repeat(np.arange(len(df)), [len(s) for s in df["sketch"]])
-        names, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = count[inverse] > 1
-        code = np.cumsum(count > 1) - 1
-        hold = np.zeros((len(df), int((count > 1).sum())), dtype=np.float32)
-        hold[owner[keep], code[inverse[keep]]] = 1
         n, size = df["n"].to_numpy(), np.array([len(s) for s in df["sketch"]])
         need = np.minimum(MIN_SHARED, np.ceil(size * 0.75))
-        ok = hold @ hold.T >= np.maximum(need[:, None], need[None, :])
+        ok = common(df["sketch"].to_list()) >= np.maximum(need[:, None], need[None, :])
+        shared = df["shared"].to_numpy()
+        ok &= 7 * np.minimum(shared[:, None], shared[None, :]) >= 3 * (n[:, None] + n[None, :])
         ok &= 100 * np.minimum(n[:, None], n[None, :]) >= 75 * np.maximum(n[:, None], n[None, :])
         component = df["component"].to_numpy()
         ok &= component[:, None] != component[None, :]
-        i, j = np.nonzero(np.triu(ok, 1))
-        rep = df["rep"].to_numpy()
-        return pd.DataFrame({"a": rep[i], "b": rep[j]})
+        some = np.flatnonzero(ok.any(axis=1))
+        out: list[tuple[int, int]] = []
+        if len(some):
+            both = common(df["set"].iloc[some].to_list())
+            n, rep, component = n[some], df["rep"].to_numpy()[some], component[some]
+            linked = ok[np.ix_(some, some)] & (100 * both >= 75 * (n[:, None] + n[None, :] - both))
+            parent = {c: c for c in component.tolist()}
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for x, y in zip(*(z.tolist() for z in np.nonzero(np.triu(linked, 1)))):
+                p, q = root(component[x]), root(component[y])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((rep[x], rep[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("value", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
+def apart(members: DataFrame) -> DataFrame:
+    """The members of lists that hold more than one component."""
+    mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("value")
+    return members.join(mixed, "value", "left_semi")
+
+
 def groups(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``.
 
     Documents are linked when 100 * intersection >= 75 * union of their shingle sets; component_id is the least id that
     links reach. Empty sets (null and empty texts) are linked with nothing. A row with a null id takes part, but its null
     is never a component: alone its component_id is null and it is kept. Rows that share an id but not a text are judged
-    by their own set. Equal rows share a class, of which one row goes into the search, so copies never multiply. An empty
+    by their own set, and one of them stands for the id in the search. Equal rows share a class, of which one row goes into the search, so copies never multiply. An empty
     table gives no rows; other columns are left out.
     """
     docs = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = staged(sketches(docs), "sketches")
     classes = own.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = staged(classes, "classes")
+    twice = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("k1", "k2", "n")).alias("x")).where("f > 1")
+    if not twice.isEmpty():
+        # rows that share an id, but not a text: the class of the least key searches for the id
+        other = classes.join(twice.select("rep", "x"), "rep").where(F.struct("k1", "k2", "n") != F.col("x"))
+        classes = staged(classes.join(other.select("k1", "k2", "n"), ["k1", "k2", "n"], "left_anti"), "classes")
     entered = staged(lists(classes), "lists")
     hub = entered.groupBy("value").agg(F.max(F.struct("typical", F.negative("rep").alias("r"))).alias("h"), F.count(F.lit(1)).alias("size"))
-    hub = hub.where("size > 1").select("value", F.negative("h.r").alias("hub"), "size")
-    star = entered.join(hub, "value").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = staged(confirmed(staged(plausible(star, classes), "pairs"), docs, classes), "links")
+    hub = hub.where("size > 1").select("value", F.negative("h.r").alias("hub"))
+    entered = staged(entered.join(hub, "value"), "lists")
+    sets = full_sets(docs, entered.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep"))
+    star = entered.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    links = staged(confirmed(plausible(star, classes), sets), "links")
     found = components(links)
-    # lists that the first round has not joined to one component
+    # lists that the first round has not joined to one component, without the members that can have no further link
     label = F.coalesce("component", "rep").alias("component")
-    members = staged(entered.join(hub, "value").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", label, "size"), "members")
-    apart = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("value")
-    rest = members.join(apart, "value").join(classes.select("rep", "sketch"), "rep")
-    more = staged(plausible(block_pairs(rest).join(star, ["a", "b"], "left_anti"), classes), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(staged(confirmed(more, docs, classes), "links"))
+    members = entered.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", label)
+    rest = staged(apart(able(staged(apart(members), "members"), sets)), "members")
+    if not rest.isEmpty():
+        rest = rest.join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+        links = links.unionByName(staged(block_links(rest), "links"))
         found = components(links)
     named = classes.select("k1", "k2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", label)
     rows = own.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
