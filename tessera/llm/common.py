@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python task holds as objects at a time, beside the Arrow batch it was given.
 SLICE_CHARS = 8_000_000
+#: Temporary folders of local sessions that name no shared one.
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +29,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="tessera-"))
     return root.rstrip("/")
 
 

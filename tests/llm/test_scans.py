@@ -1,0 +1,83 @@
+import hashlib
+import random
+import re
+
+from tessera.llm.pii import BASE, automaton, find, op8_pii, spans
+from tessera.llm.secrets import redacted, samples, scan, train
+
+from .conftest import frame
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+
+def base_pii(x):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x) if 13 <= sum(c.isdigit() for c in m.group()) <= 19 and luhn(m.group())]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+
+
+def test_pii_base_spans_are_those_of_the_patterns():
+    rnd, ac = random.Random(1), automaton()
+    parts = ["a", ".", "@", "-", " ", "+", "1", "23", "256", "4539578763621486", "4539 5787 6362 1486", "x@y.z", "1.2.3.4", "(", ")", "é", "+1 (017) 555-7713", "٣", "::", "://", "iban "]
+    for _ in range(20_000):
+        x = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        assert [tuple(s) for s in find(x, ac) if s.kind in BASE] == base_pii(x), x
+
+
+def test_pii_added_spans():
+    ac = automaton()
+    x = "see ftp://me:pw@host.org/x, IBAN: DE89 3704 0044 0532 0130 00 Then account no. 12345678 iban DE00 3704 0044 0532 0130 00"
+    assert [(s.kind, x[s.start : s.end]) for s in find(x, ac) if s.kind not in BASE] == [("address", "ftp://me:pw@host.org"), ("account", "DE89 3704 0044 0532 0130 00"), ("account", "12345678")]
+    assert find("1" * 100_000 + "." * 50_000 + "a" * 100_000 + "@", ac) == []
+
+
+def test_pii_rows(spark):
+    df = frame(spark, [(1, "mail a@b.co"), (2, None), (3, ""), (None, "x 10.0.0.1"), (1, "mail a@b.co")]).withColumnRenamed("lang", "spans")
+    got = [(r.doc_id, [tuple(s) for s in r.spans]) for r in spans(df).collect()]
+    assert got == [(1, [("email", 5, 11)]), (2, []), (3, []), (None, [("ip", 2, 10)]), (1, [("email", 5, 11)])]
+    assert spans(df.limit(0)).count() == 0 and callable(op8_pii)
+
+
+def base_secrets(x):
+    out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", x, re.A) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m.group()) >= 20]
+    return sorted(out + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m.group()) >= 24])
+
+
+def test_secrets(spark):
+    rnd = random.Random(2)
+    parts = ["token", "Secret", "API_KEY", "passwd", "password", " ", "=", ":", '"', "'", "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "é", "\n", "x", "😀", "ſ", "K"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 16)))) for i in range(3000)]
+    rows += [(9001, None), (9002, ""), (None, "token=abcdef"), (9003, "ab " * 40_000 + "token = abcdef123"), (9003, "x")]
+    df = frame(spark, rows).withColumnRenamed("lang", "hex_tsx_").withColumnRenamed("source", "kind")
+    for r in scan(df).collect():
+        got = [tuple(s) for s in r.secrets_]
+        assert [s for s in got if s[1] < 3] == base_secrets(r.text or ""), r.text
+        assert got == sorted(got)
+        for s in got:
+            if s[2] == "markov":
+                assert not any(b[0] < s[3] and s[0] < b[3] for b in got if b[1] < 3)
+    assert scan(df.limit(0)).count() == 0
+
+
+def test_markov_models_tell_random_strings(spark):
+    held = samples(400, seed=99)
+    df = frame(spark, [(i, f"see {x} here") for i, (x, y) in enumerate(held) if len(x) >= 24])
+    hit = {r.doc_id: len(r.secrets_) > 0 for r in scan(df).collect()}
+    truth = {i: y for i, (x, y) in enumerate(held) if len(x) >= 24}
+    found = [hit[i] for i, y in truth.items() if y]
+    wrong = [hit[i] for i, y in truth.items() if not y]
+    assert sum(found) / len(found) > 0.97 and sum(wrong) / len(wrong) < 0.01
+    assert train([("ab", 0), ("ab", 1)]).shape == train(samples(10)).shape
+
+
+def test_redaction(spark):
+    rows = [(1, "é token = abcdef12 and 0123456789abcdef01234567 end"), (2, None), (3, "clean text"), (4, "token=0123456789abcdef01234567")]
+    df = redacted(frame(spark, rows))
+    assert [(r.text, r.n_chars) for r in df.collect()] == [("é [SECRET] and [SECRET] end", 27), (None, None), ("clean text", 10), ("[SECRET]", 8)]
+    assert df.columns == frame(spark, rows).columns
+    assert hashlib.sha256(b"").hexdigest()
