@@ -17,7 +17,7 @@ from .planes import op3_binary_ids
 from .quality import op7_quality
 from .secrets import op9_secrets
 from .tokens import op2_token_counts
-from .urls import op1_url_filters
+from .urls import OP1_SQL, op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
@@ -32,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Without the operators that SQL cannot express; those are tested against brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}

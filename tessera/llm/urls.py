@@ -133,3 +133,35 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     if out is None:
         out = filter_urls(pages, RULES)
     return out.select("page_id", F.col("host_").alias("host"), F.col("path_").alias("path"), F.col("rule_").alias("rule"), F.col("verdict_").alias("verdict"))
+
+
+def _sql() -> str:
+    """DuckDB SQL for ``op1_url_filters``. Its expressions have no look-ahead, so either order of attributes is a pattern."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    link = "coalesce(nullif(regexp_extract(html, '(?is){0}', 1), ''), regexp_extract(html, '(?is){1}', 1))"
+    canonical = link.format("""<link\\b[^>]*rel\\s*=\\s*["'']?canonical[^>]*href\\s*=\\s*["'']?([^"''\\s>]+)""", """<link\\b[^>]*href\\s*=\\s*["'']?([^"''\\s>]+)[^>]*rel\\s*=\\s*["'']?canonical""")
+    refresh = link.format("""<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh[^>]*content\\s*=\\s*["''][^"''>]*url\\s*=\\s*([^"''>]+)""", """<meta\\b[^>]*content\\s*=\\s*["''][^"''>]*url\\s*=\\s*([^"''>]+)[^>]*http-equiv\\s*=\\s*["'']?refresh""")
+
+    def parts(source: str, url: str, keep: str) -> str:
+        rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END"
+        return f"""SELECT {keep}, host, path, CASE WHEN rest IS NOT NULL THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(\\.html?)?/*$', '')
+            || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS key FROM (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '') AS host,
+            coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+            regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '{_TRACKING}', '', 'g'), '^&+', '') AS query
+            FROM (SELECT *, {rest} AS rest FROM {source}))"""
+
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({parts("pages", "url", "page_id, url, html")}),
+        found AS (SELECT key, host, path, trim(replace(x, '&amp;', '&')) AS x FROM (SELECT key, host, path, unnest([{refresh}, {canonical}]) AS x FROM p) WHERE x <> ''),
+        target AS (SELECT key AS a, CASE WHEN x LIKE '%://%' THEN x WHEN x LIKE '//%' THEN 'x:' || x WHEN x LIKE '/%' THEN 'x://' || host || x
+            ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || x END AS url FROM found),
+        edge AS MATERIALIZED (SELECT a, key AS b FROM ({parts("target", "url", "a")}) WHERE a <> key),
+        both_ AS MATERIALIZED (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+        fit AS MATERIALIZED (SELECT page_id, url, key, host, path, r.verdict, r.text FROM p LEFT JOIN (SELECT page_id AS id, url AS u, arg_max(verdict, length(h || f)) AS verdict, arg_max(h || f, length(h || f)) AS text
+            FROM p JOIN (VALUES {rules}) t(verdict, h, f) ON ends_with('.' || host, '.' || h) AND starts_with(path, f) GROUP BY page_id, url) r ON page_id = r.id AND url = r.u),
+        reach(node, member) AS (SELECT DISTINCT key, key FROM p WHERE key IS NOT NULL UNION SELECT node, b FROM reach JOIN both_ ON member = a),
+        told AS (SELECT node, max((verdict = 'allow')::INT) AS allowed, max((verdict = 'block')::INT) AS blocked FROM reach JOIN fit ON member = key GROUP BY node)
+        SELECT page_id, host, path, text AS rule, coalesce(verdict, CASE WHEN allowed = 1 THEN 'allow' WHEN blocked = 1 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM fit LEFT JOIN told ON key = node"""
+
+
+OP1_SQL = _sql()
