@@ -82,7 +82,7 @@ class File:
         raw = self.zstd.decompress(data[-16 - size : -16])
         self.block, self.planes, blocks, docs = np.frombuffer(raw, dtype="<u8", count=4).tolist()
         at = 32
-        self.index = np.frombuffer(raw, dtype="<u8", count=blocks * (2 + self.planes), offset=at).reshape(blocks, -1)
+        self.index = np.frombuffer(raw, dtype="<u8", count=blocks * (2 + self.planes), offset=at).reshape(blocks, 2 + self.planes)
         at += self.index.nbytes
         known = np.frombuffer(raw, dtype="<i8", count=docs, offset=at).tolist()
         valid = np.frombuffer(raw, dtype=np.uint8, count=docs, offset=at + 8 * docs).tolist()
