@@ -31,21 +31,24 @@ class Index:
     """BM25 over the ids of a shard's documents: impacts by term, in two flat arrays."""
 
     def __init__(self, docs: list[np.ndarray]) -> None:
-        n = len(docs)
-        size = np.array([max(1, len(d)) for d in docs], dtype=np.float64)
-        flat = np.concatenate([d for d in docs if len(d)] or [np.empty(0, dtype=np.uint32)]).astype(np.int64)
-        owner = np.repeat(np.arange(n), [len(d) for d in docs])
-        cell, tf = np.unique(owner * (1 << 32) + flat, return_counts=True)
-        doc, term = cell >> 32, cell & 0xFFFFFFFF
-        self.first = np.searchsorted(doc, np.arange(n + 1))
-        names, inverse, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[inverse] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / size.mean()))
-        self.terms, self.weight, self.df = inverse, impact, df
-        order = np.argsort(inverse, kind="stable")
-        self.posting_doc, self.posting_weight = doc[order], impact[order]
-        self.posting = np.concatenate(([0], np.cumsum(df)))
-        self.n = n
+        n = self.n = len(docs)
+        size = np.array([len(d) for d in docs], dtype=np.int64)
+        flat = np.concatenate(docs).astype(np.int64) if n else np.empty(0, dtype=np.int64)
+        # one sort by (term, document) makes the postings; equal cells are counted
+        cells = np.sort(flat << 32 | np.repeat(np.arange(n), size))
+        opens = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.empty(0, dtype=np.int64)
+        tf, cells = np.diff(np.append(opens, len(cells))), cells[opens]
+        doc, term = cells & 0xFFFFFFFF, cells >> 32
+        opens = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, dtype=np.int64)
+        self.posting = np.append(opens, len(term))
+        self.df = np.diff(self.posting)
+        number = np.repeat(np.arange(len(self.df)), self.df)
+        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
+        norm = K1 * (1 - B + B * np.maximum(size, 1) / max(1.0, size.mean() if n else 1))
+        self.posting_doc, self.posting_weight = doc, idf[number] * tf * (K1 + 1) / (tf + norm[doc])
+        by_doc = np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")
+        self.terms, self.weight = number[by_doc], self.posting_weight[by_doc]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
 
     def neighbours(self, i: int) -> np.ndarray:
         """Documents that share the seed's strongest terms, best first, ties by number."""
@@ -53,11 +56,12 @@ class Index:
         shared = self.df[terms] > 1
         terms, weight = terms[shared], weight[shared]
         if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-weight, kind="stable")[:QUERY_TERMS]]
-        rows = np.concatenate([np.arange(self.posting[t], self.posting[t + 1]) for t in terms] or [np.empty(0, dtype=np.int64)])
-        docs, inverse = np.unique(self.posting_doc[rows], return_inverse=True)
-        score = np.bincount(inverse, weights=self.posting_weight[rows], minlength=len(docs))
-        return docs[np.argsort(-score, kind="stable")]
+            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
+        count = self.df[terms]
+        rows = np.repeat(self.posting[terms] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        score = np.bincount(self.posting_doc[rows], weights=self.posting_weight[rows], minlength=self.n)
+        docs = np.flatnonzero(score)
+        return docs[np.argsort(-score[docs], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
