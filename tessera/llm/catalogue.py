@@ -10,7 +10,7 @@ import corpus_pipeline
 
 from .decontaminate import op4_decontamination
 from .fingerprints import op5_order_minhash
-from .neardup import op10_near_duplicates
+from .neardup import OP10_SQL, op10_near_duplicates
 from .packing import op6_packing
 from .pii import op8_pii
 from .planes import op3_binary_ids
@@ -33,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 #: Without the operators that SQL cannot express; those are tested against brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op10_near_duplicates": OP10_SQL}

@@ -335,3 +335,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM words),
+    shingle AS MATERIALIZED (SELECT doc_id, unnest(s) AS s FROM sets),
+    pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    link AS MATERIALIZED (SELECT a, b FROM pair JOIN sets x ON a = x.doc_id JOIN sets y ON b = y.doc_id WHERE 100 * shared >= 75 * (len(x.s) + len(y.s) - shared)),
+    both_ AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach(node, member) AS (SELECT doc_id, doc_id FROM documents UNION SELECT node, b FROM reach JOIN both_ ON member = a),
+    least AS (SELECT node, min(member) AS component_id FROM reach GROUP BY node)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON doc_id = node"""
