@@ -694,3 +694,16 @@ def tx_rollback(e):
     except RuntimeError:
         pass
     return e.query(Nation)
+
+
+@stored_query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_nationkey = 3 THEN s_acctbal + 5 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey <> 8 UNION ALL SELECT 900001, 'raw', 4, NULL", Supplier)
+def raw_write(e):
+    e.execute("UPDATE supplier SET s_acctbal = s_acctbal + ? WHERE s_nationkey = ?", [5, 3])
+    e.execute("DELETE FROM supplier WHERE s_suppkey = :key", {"key": 8})
+    e.execute("INSERT INTO supplier (s_suppkey, s_name, s_nationkey) VALUES (?, ?, ?)", [900001, "raw", 4])
+    return e.query(Supplier)
+
+
+@stored_query("SELECT n_nationkey, n_name || '!' AS shout FROM nation WHERE n_regionkey = 1", Nation)
+def raw_returning(e):
+    return e.execute("UPDATE nation SET n_name = concat(n_name, '!') WHERE n_regionkey = 1 RETURNING n_nationkey, n_name AS shout")

@@ -99,6 +99,13 @@ class InQuery(Predicate):
     negated: bool = False
 
 
+@dataclass(frozen=True)
+class SqlText(Predicate):
+    """A condition in SQL text, over the columns of the query's tables."""
+
+    sql: str
+
+
 @dataclass(frozen=True)
 class Raw:
     """SQL text for the left side of a comparison, as in HAVING."""

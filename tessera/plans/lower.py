@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.items import AGGREGATES, Item
-from ..functions.refs import And, Between, ColumnRef, Compare, Exists, In, InQuery, IsNull, Not, Or, Order, Predicate, Raw
+from ..functions.refs import And, Between, ColumnRef, Compare, Exists, In, InQuery, IsNull, Not, Or, Order, Predicate, Raw, SqlText
 
 _COMPARE = {
     "=": operator.eq, "<>": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le,
@@ -102,6 +102,8 @@ class Scope:
             return functools.reduce(operator.or_, map(self.predicate, p.parts))
         if isinstance(p, Not):
             return ~self.predicate(p.part)
+        if isinstance(p, SqlText):
+            return F.expr(p.sql)
         if isinstance(p, Compare):
             right = p.right if p.op.endswith("like") else self.value(p.right)
             return _COMPARE[p.op](self.value(p.left), right)

@@ -149,9 +149,13 @@ class Engine:
             raise ValueError("no column of the primary key is given")
         return self.delete(model).where(*found).execute()
 
-    def execute(self, sql: str, args: Any = None) -> DataFrame:
-        """A SQL statement that Spark runs by itself."""
-        return self.spark.sql(sql, args=args)
+    def execute(self, sql: str, args: Any = None) -> Any:
+        """A raw write: INSERT, UPDATE or DELETE on a versioned table gives the rows affected, with RETURNING a DataFrame of
+        them. Other statements are Spark's."""
+        from ..operators import statements
+
+        out = statements.run(self, sql, args)
+        return self.spark.sql(sql, args=args) if out is None else out
 
     # transactions
 

@@ -244,3 +244,19 @@ def test_logs(engine, caplog):
         engine.query(WUsers).where(WUsers.name.compare(">", object())).all()
     engine.query(WUsers).where(WUsers.password == "open").all()
     assert seen[-1].args == [("password", "open")]
+
+
+def test_raw_statements(engine):
+    run = engine.execute
+    assert run("INSERT INTO w_users (id, name) VALUES (?, ?), (11, 'it''s (a), b')", [10, "x"]) == 2
+    assert names(engine)[10] == "x"
+    got = run("INSERT INTO w_users (name, age) SELECT 'gen', 5 RETURNING id, name").collect()
+    assert [(r.id, r.name) for r in got] == [(12, "gen")]
+    assert run("UPDATE w_users SET name = concat(name, '-', :tag), age = coalesce(age, 0) + 1 WHERE id IN (1, 2)", {"tag": "where, set"}) == 2
+    assert names(engine)[1] == "alice-where, set"
+    got = run("update w_users set age = 7 where id = 3 returning id, age + 1 AS next").collect()
+    assert [(r.id, r.next) for r in got] == [(3, 8)]
+    assert [r.id for r in run("DELETE FROM w_users WHERE age = 7 RETURNING id").collect()] == [3]
+    assert run("DELETE FROM w_users WHERE name LIKE '%;%' OR id > :low", {"low": 9}) == 3
+    assert run("DELETE FROM w_users") == 2 and engine.query(WUsers).count() == 0
+    assert run("SELECT 1 AS one").first().one == 1
