@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 8_000_000
 #: Temporary folders of local sessions that name no shared one.
 _LOCAL: dict[str, str] = {}
+#: Tables that this driver has staged.
+_STAGED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,30 +44,39 @@ def shared_path(spark: SparkSession, what: str) -> str:
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts lineage, and outlives any executor."""
     path = shared_path(df.sparkSession, what)
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_rows(
-    work: Callable[[list, list], pa.RecordBatch], ids: str = "doc_id", text: str = "text"
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that calls ``work(ids, texts)`` on bounded slices; null texts come as empty ones."""
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes the tables staged so far. To be called when the results that read them have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _STAGED:
+        at = path(_STAGED.pop())
+        gone += at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return gone
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                yield work(part.column(ids).to_pylist(), [x or "" for x in part.column(text).to_pylist()])
 
-    return run
+_CACHES: dict[str, dict] = {}
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about SLICE_CHARS bytes of text each (one row at least)."""
+def worker_cache(name: str | None = None) -> dict:
+    """What a Python worker keeps between tasks under ``name``. Workers serve one operator after the other, so what others
+    have kept is let go."""
+    for k in [k for k in _CACHES if k != name]:
+        del _CACHES[k]
+    return _CACHES.setdefault(name, {}) if name else {}
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``size`` bytes of text each (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
 
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    part = np.cumsum(sizes) // SLICE_CHARS
+    part = np.cumsum(sizes) // size
     bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else []
     for lo, hi in zip(bounds, bounds[1:]):
         if hi > lo:

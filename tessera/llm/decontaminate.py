@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, worker_cache
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score from which it is retrieved.
@@ -181,6 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str
 
 def _searcher(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         index = Index(items.value)
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, slices, staged, table
+from .common import components, slices, staged, table, worker_cache
 
 WORDS = 5
 K = 32
@@ -36,6 +36,8 @@ MIN_SHARED = 12
 BLOCK = 512
 #: Values that a comparison of a block takes up at a time.
 COLUMNS = 4096
+#: Bytes of text that are hashed at a time, at about 50 bytes of arrays each.
+SLICE = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20_240_601))
 _BYTE = _rng.integers(0, 2**64, size=256, dtype=np.uint64)
@@ -117,8 +119,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, k1, k2, sketch): size, key and K least values of each document's set; null keys for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 sets = shingles(texts_of(part.column(1)))
                 keys = [set_key(s) if len(s) else (None, None) for s in sets]
                 n = pa.array([len(s) for s in sets], pa.int64())
@@ -165,8 +168,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (rep, set) of the classes ``wanted`` (rep, k1, k2), made anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 sets = shingles(texts_of(part.column(1)))
                 want = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist()))
                 # of rows that share an id, only those of the class
@@ -249,6 +253,7 @@ def block_links(members: DataFrame) -> DataFrame:
     rows = rows.withColumns({"i": F.least("of", "other"), "j": F.greatest("of", "other")}).drop("of", "other", "size")
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        worker_cache()
         df = df.drop_duplicates("rep").sort_values("rep")
         n, size = df["n"].to_numpy(), np.array([len(s) for s in df["sketch"]])
         need = np.minimum(MIN_SHARED, np.ceil(size * 0.75))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, worker_cache
 
 #: The most labelled rows that a model is fitted on: those of the least hash of their id.
 MAX_SAMPLE = 20_000
@@ -197,6 +197,7 @@ def scored(docs: DataFrame, model: Model, out: dict[str, str] | None = None, tex
     schema = docs.select(names).schema.add("score_", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         at = names.index(text)
         for batch in batches:
             for part in slices(batch, text):

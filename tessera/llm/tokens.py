@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, worker_cache
 
 #: Classes of code points that the splitter tells apart. The order is that of the columns of its table.
 OTHER, LETTER, NUMBER, SPACE, WHITE, APOSTROPHE, END = range(7)
 CHUNK = 128
+#: Bytes of text that are counted at a time, at about 50 bytes of arrays each.
+SLICE = 4_000_000
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 #: The most states a merger keeps; beyond that its table starts anew, which costs time and changes no count.
 MAX_STATES = 120_000
@@ -368,9 +370,6 @@ class Counter:
         return extra + np.bincount(np.array(owner), weights=by_part, minlength=len(texts)).astype(np.int64)
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 512, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit) of every text, without begin and end tokens.
 
@@ -384,9 +383,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, ids: str = "doc_i
     schema = f"`{ids}` {kind.simpleString()}, n_bytes bigint, n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _COUNTERS.get(path) or _COUNTERS.setdefault(path, Counter(path, np.frombuffer(classes.value, dtype=np.uint8)))
+        kept = worker_cache(f"counter {path}")
+        if not kept:
+            kept["counter"] = Counter(path, np.frombuffer(classes.value, dtype=np.uint8))
+        count = kept["counter"]
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 size = pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(count(texts))], [ids, "n_bytes", "n_tokens"])
