@@ -6,19 +6,34 @@ distinct piece goes through the library once; its ids stay in a cache of bounded
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import re
+from array import array
 from typing import Literal
 
 import numpy as np
 
+from .common import worker_cache
+from .tokens import byte_symbols
+
 #: Pieces that a worker keeps. On overflow those that came back since the last overflow stay.
-CACHE = 600_000
+CACHE = 900_000
 JOIN = 256
+_ALNUM = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARK = r"[!-&(-/:-@\[-`{-~]"
+#: Words of Latin-1 letters, with the space that may lead them.
+_LETTERS = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Where every pre-tokenizer of this kind cuts: between ASCII and Latin-1 letters or digits (which normal forms leave alone),
+#: ASCII marks but the apostrophe, and a line break that stands alone.
+_FINE = re.compile(rf"(?<=[{_ALNUM}])(?={_MARK})|(?<={_MARK})(?=[{_ALNUM}])|(?<=[{_ALNUM}])(?=\n[{_ALNUM}])|(?<={_MARK})(?=\n[{_ALNUM}])|(?<=\S\n)(?=[{_ALNUM}])")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _VISIBLE = re.compile("[^ \t-\r]+")
-_UNSURE = re.compile(r" \s|\s |^ | $")
+#: White space in a text after which a single space may not be a cut: runs, and any but spaces and line breaks.
+_UNSURE = ("  ", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_UNSURE_ASCII = tuple(x for x in _UNSURE if x.isascii())
+_TRAIL = ".,;:!?"
 
 
 class Encoder:
@@ -32,56 +47,120 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in json.loads(open(path, encoding="utf-8").read())["added_tokens"]}
         self.cut = cut
         self.mark, self.mark_id = next(iter(self.special.items()))
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+        #: Ids of pieces, and of pieces that a space leads (by what follows it).
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.again: tuple[set[str], set[str]] = (set(), set())
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> tuple[list[str], list[str]] | None:
+        """The pieces of a text: those at its start, and those behind, each led by a space; None if that is not its form."""
         if self.cut == "white":
             # str.split also parts at four control characters that are no white space to the library
-            return _VISIBLE.findall(text) if _CONTROL.search(text) else text.split()
+            return (_VISIBLE.findall(text) if _CONTROL.search(text) else text.split()), []
+        if text[:1] == " " or text[-1:] == " " or any(x in text for x in (_UNSURE_ASCII if text.isascii() else _UNSURE)):
+            return None
         parts = text.split(" ")
-        if not _UNSURE.search(text):
-            return [parts[0], *map(" ".__add__, parts[1:])]
-        out = [parts[0]]
-        for p in parts[1:]:
+        return parts[:1], parts[1:]
+
+    def mixed(self, text: str) -> list[str]:
+        """The pieces of any text for ``cut="space"``, with the spaces that lead them."""
+        out: list[str] = []
+        for i, p in enumerate(text.split(" ")):
             # a cut stands only between a visible character and a space that leads a visible one
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
+            if not i or p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
+                out.append(" " * bool(i) + p)
             else:
                 out[-1] += " " + p
         return out
 
-    def learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), JOIN):
-            part = new[lo : lo + JOIN]
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by the library: words of letters by its model, as they are one word of the pre-tokenizer for sure."""
+        out: list[bytes] = [b""] * len(pieces)
+        tokenize, table, rest = self.lib.model.tokenize, self.symbols, []
+        for i, p in enumerate(pieces):
+            if _LETTERS.fullmatch(p):
+                word = p if self.cut == "space" else p.lower()
+                out[i] = array("I", [t.id for t in tokenize(word.encode().decode("latin-1").translate(table))]).tobytes()
+            else:
+                rest.append(i)
+        for lo in range(0, len(rest), JOIN):
+            part = rest[lo : lo + JOIN]
             # the special token between pieces keeps them apart, and is the same as encoding each on its own
-            ids = np.array(self.lib.encode(self.mark.join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id) * 4
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))))
+            got = np.array(self.lib.encode(self.mark.join([pieces[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(got == self.mark_id) * 4
+            raw = got.tobytes()
+            for i, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
+                out[i] = raw[a:b]
+        return out
+
+    def learn(self, new: set[str], led: bool) -> None:
+        """Ids of pieces not seen before; those with marks or line breaks inside are cut on, and only new parts are encoded."""
+        lead, known, plain = " " * led, self.known[led], self.known[0]
+        simple: list[str] = []
+        cut: list[tuple[str, str, list[str]]] = []
+        for x in new:
+            if _LETTERS.fullmatch(x):
+                simple.append(x)
+            elif (word := x.rstrip(_TRAIL)) != x and _LETTERS.fullmatch(word):
+                cut.append((x, word, [x[len(word) :]]))
+            elif len(c := _FINE.split(lead + x)) > 1:
+                cut.append((x, c[0][len(lead) :], c[1:]))
+            else:
+                simple.append(x)
+        heads = {head for _, head, _ in cut}.difference(known)
+        simple += heads.difference(simple) if len(heads) else ()
+        known.update(zip(simple, self.ids([lead + x for x in simple] if led else simple)))
+        tails = list({t for _, _, tail in cut for t in tail}.difference(plain))
+        plain.update(zip(tails, self.ids(tails)))
+        get = plain.__getitem__
+        known.update([(x, known[head] + (get(tail[0]) if len(tail) == 1 else b"".join(map(get, tail)))) for x, head, tail in cut])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens of its own."""
-        direct = {i: np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        cut = [[] if i in direct or not t else self.pieces(t) for i, t in enumerate(texts)]
-        seen = set(itertools.chain.from_iterable(cut))
-        new = [x for x in seen if x not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            keep = self.again | seen
-            self.known = {k: v for k, v in self.known.items() if k in keep}
-            self.again = set()
-        else:
-            self.again |= seen.difference(new)
-        self.learn(new)
-        get = self.known.__getitem__
-        return [direct[i] if i in direct else b"".join(map(get, p)) for i, p in enumerate(cut)]
-
-
-_ENCODERS: dict[tuple, Encoder] = {}
+        # nothing here makes cycles, and the collector would walk through millions of strings again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        special = list(self.special)
+        direct: dict[int, bytes] = {}
+        cut: list[tuple[list[str], list[str]] | None] = []
+        for i, t in enumerate(texts):
+            c = ([], []) if not t else None if any(s in t for s in special) else self.pieces(t)
+            if c is None:
+                if any(s in t for s in special):
+                    direct[i] = np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                    c = ([], [])
+                else:
+                    direct[i] = b""
+                    c = (self.mixed(t), [])
+            cut.append(c)
+        for led in (0, 1):
+            seen = set(itertools.chain.from_iterable(c[led] for c in cut))
+            new = seen.difference(self.known[led])
+            if len(self.known[led]) + len(new) > CACHE:
+                keep = self.again[led] | seen
+                for k in [k for k in self.known[led] if k not in keep]:
+                    del self.known[led][k]
+                self.again[led].clear()
+            else:
+                self.again[led].update(seen.difference(new))
+            self.learn(new, bool(led))
+        first, behind = (k.__getitem__ for k in self.known)
+        out = [b"".join([*map(first, c[0]), *map(behind, c[1])]) for c in cut]
+        for i, ids in direct.items():
+            out[i] = out[i] or ids
+        return out
 
 
 def encoder(path: str, cut: Literal["space", "white"]) -> Encoder:
     """One encoder per tokenizer and Python worker."""
-    if (path, cut) not in _ENCODERS:
-        _ENCODERS[path, cut] = Encoder(path, cut)
-    return _ENCODERS[path, cut]
+    kept = worker_cache(f"encoder {path} {cut}")
+    if not kept:
+        kept["encoder"] = Encoder(path, cut)
+    return kept["encoder"]
