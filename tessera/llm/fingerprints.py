@@ -1,12 +1,13 @@
 """Order MinHash fingerprints, in DataFrame operations only.
 
 The k-mers of a text's code points are numbered by their occurrence, so repeats count. One hash of (k-mer, occurrence)
-deals them into buckets and ranks them there; a bucket keeps its TUPLE least k-mers, puts them in the order of the text and
-hashes that tuple. The likeness of two fingerprints is the share of buckets, among those that either fills, in which the
+deals them into buckets and ranks them there; a bucket keeps its two least k-mers, puts them in the order of the text and
+hashes that pair. The likeness of two fingerprints is the share of buckets, among those that either fills, in which the
 tuples agree: it falls with edits, and with moves that a set of k-mers would not see.
 
-Everything of a text stays in its row, in arrays of longs: (hash, place) pairs are packed into one long and sorted, equal
-k-mers then stand together, and the number of equal ones before an element is found by galloping over powers of two.
+Everything of a text stays in its row, in arrays of longs: (hash, place) pairs are packed into one long and sorted. Equal
+k-mers then stand together. A first occurrence ranks by its hash; others are cut into runs of equal ones, and their place in
+the run is hashed in.
 """
 
 from __future__ import annotations
@@ -18,41 +19,62 @@ from .common import table
 
 K = 8
 BUCKETS = 64
-TUPLE = 2
-#: Ids that part documents into ranges, in each of which the next document is looked up.
-RANGES = 256
+#: Ids that part documents into ranges, in each of which the next document is looked up: so many a shuffle partition, within
+#: bounds. The driver holds the first ids of all ranges.
+RANGES, LEAST_RANGES, MOST_RANGES = 4, 64, 20_000
 
 
-def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: array of (bucket, tuple hash) packed into longs, ascending. Null and empty texts: no elements.
+#: An empty array of type "no nulls inside", which keeps sorts on primitive longs.
+_NONE = "filter(array(0L), x -> false)"
+
+
+def kmers(df: DataFrame, text: str, out: str, start: str = "0") -> DataFrame:
+    """``df`` with ``out``: (hash, place) of the k-mers of ``text`` from place ``start`` on, each packed into a long.
 
-    Texts shorter than K are one k-mer. Any length works; hashes are cut by at most 31 bits in favour of places.
+    A text shorter than K is one k-mer; an empty one has none. low_ and high_ are the masks of places and hashes. Adds
+    ``out``_b, the text in four bytes a code point, where a k-mer is found without reading what is before it.
     """
-    n, s, h, o = (f"{out}_{x}" for x in ("n", "s", "h", "o"))
-    t = F.coalesce(F.col(text), F.lit(""))
-    bytes_ = F.encode(t, "UTF-32")  # four bytes a code point, so a k-mer is found without reading what is before it
-    df = df.withColumns({n: F.char_length(t), f"{out}_b": bytes_})
-    df = df.withColumn(s, F.when(F.col(n) < 256, 8).when(F.col(n) < 65536, 16).when(F.col(n) < 16777216, 24).otherwise(31))
-    kmer = lambda i: F.xxhash64(F.substring(F.col(f"{out}_b"), i * 4 + 1, F.lit(4 * K)))
-    places = F.sequence(F.lit(0), F.greatest(F.col(n) - K, F.lit(0)))
-    none = F.array().cast("array<bigint>")
-    df = df.withColumn(h, F.when(F.col(n) > 0, F.transform(places, kmer)).otherwise(none)).drop(f"{out}_b")
-    high = lambda x: f"shiftright({x}, {s})"
-    low = lambda x: f"cast({x} & (shiftleft(1L, {s}) - 1) as int)"
-    # equal k-mers side by side, in the order of the text
-    df = df.withColumn(o, F.expr(f"array_sort(transform({h}, (x, i) -> shiftleft({high('x')}, {s}) | i))".replace("array_sort", "sort_array")))
-    same = f"{high(f'get({o}, j - 1)')} = {high('x')}"
-    gallop = f"aggregate(array(1048576,262144,65536,16384,4096,1024,256,64,16,4,1), 0, (a, p) -> a + p * aggregate(array(1, 2, 3), 0, (c, q) -> if(j - a - q * p >= 0 and {high(f'get({o}, j - a - q * p)')} = {high('x')}, q, c)))"
-    occurrence = f"if(j > 0 and {same}, {gallop}, 0)"
-    rank = f"shiftleft(shiftright(xxhash64(get({h}, {low('x')}), {occurrence}), {s}), {s}) | (x & (shiftleft(1L, {s}) - 1))"
-    df = df.withColumn(o, F.expr(f"sort_array(transform({o}, (x, j) -> {rank}))"))
-    bucket = lambda x: f"shiftrightunsigned({x}, {64 - (BUCKETS - 1).bit_length()})"
-    df = df.withColumn(o, F.expr(f"filter({o}, (x, j) -> j < {TUPLE} or {bucket('x')} != {bucket(f'get({o}, j - {TUPLE})')})"))
-    # the elements of a bucket stand side by side; its first one makes the tuple
-    own = f"filter(transform(slice({o}, j + 1, {TUPLE}), y -> if({bucket('y')} = {bucket('x')}, {low('y')}, null)), y -> y is not null)"
-    value = f"aggregate(sort_array({own}), 42L, (a, y) -> xxhash64(a, get({h}, y)))"
-    tuples = f"filter(transform({o}, (x, j) -> if(j > 0 and {bucket(f'get({o}, j - 1)')} = {bucket('x')}, null, shiftleft({bucket('x')}, 24) | ({value} & 16777215L))), y -> y is not null)"
-    return df.withColumn(out, F.expr(f"sort_array({tuples})")).drop(n, s, h, o)
+    df = df.withColumns({f"{out}_b": F.encode(F.col(text), "UTF-32"), f"{out}_last": F.greatest(F.char_length(text) - K, F.lit(0))})
+    # a binary column is copied whenever it is read; as the variable of a lambda it is read once for all k-mers
+    place = "j" if start == "0" else "shiftright(i, 2)"
+    packed = f"transform(sequence(4 * ({start}) + 1, 4 * {out}_last + 1, 4), (i, j) -> (xxhash64(substring(b, i, {4 * K})) & high_) | {place})"
+    some = f"{text} != '' and {out}_last >= {start}"
+    return df.withColumn(out, F.expr(f"if({some}, get(transform(array({out}_b), b -> {packed}), 0), {_NONE})")).drop(f"{out}_last")
+
+
+def sketch(df: DataFrame, found: str, out: str) -> DataFrame:
+    """``df`` with ``out``: array of (bucket, tuple hash) packed into longs, from what ``kmers`` left in ``found``."""
+    df = df.withColumn("o_", F.expr(f"sort_array({found})"))
+    # equal k-mers stand side by side, in the order of the text; the second and later ones take a rank by their number
+    df = df.withColumn("d_", F.expr("array_compact(zip_with(slice(o_, 1, greatest(size(o_) - 1, 0)), slice(o_, 2, greatest(size(o_) - 1, 0)), (x, y) -> if(((x ^ y) & high_) = 0, y, null)))"))
+    df = df.withColumn("g_", F.expr("array_compact(transform(d_, (x, j) -> if(j > 0 and ((x ^ get(d_, j - 1)) & high_) = 0, null, j)))"))
+    ends = "concat(slice(g_, 2, greatest(size(g_) - 1, 0)), array(size(d_)))"
+    again = f"flatten(zip_with(g_, {ends}, (s, e) -> transform(slice(d_, s + 1, e - s), (x, i) -> (xxhash64(x & high_, i + 1) & high_) | (x & low_))))"
+    df = df.withColumn("o_", F.expr(f"if(size(d_) = 0, o_, sort_array(concat(array_except(o_, d_), {again})))")).drop("d_", "g_")
+    # the first two of each bucket: those whose second-last neighbour is in another one
+    top = 64 - (BUCKETS - 1).bit_length()
+    pairs = lambda c, k: f"slice({c}, 1, greatest(size({c}) - {k}, 0)), slice({c}, {k + 1}, greatest(size({c}) - {k}, 0))"
+    df = df.withColumn("o_", F.expr(f"concat(slice(o_, 1, 2), array_compact(zip_with({pairs('o_', 2)}, (x, y) -> if(shiftright(x ^ y, {top}) = 0, null, y))))"))
+    kmer = lambda at: f"substring(b, shiftleft({at}, 2) + 1, {4 * K})"
+    place = lambda x: f"cast({x} & low_ as int)"
+    pair = f"if((x & low_) < (y & low_), xxhash64({kmer(place('x'))}, {kmer(place('y'))}), xxhash64({kmer(place('y'))}, {kmer(place('x'))}))"
+    value = f"shiftleft(shiftright(x, {top}) + {BUCKETS // 2}, 24) | (if(y is not null and shiftright(x ^ y, {top}) = 0, {pair}, xxhash64({kmer(place('x'))})) & 16777215L)"
+    tuples = f"get(transform(array({found}_b), b -> zip_with(o_, slice(o_, 2, greatest(size(o_) - 1, 0)), (x, y) -> {value})), 0)"
+    # the second of a bucket has made a value of its own, right behind that of the pair
+    df = df.withColumn("o_", F.expr(tuples))
+    return df.withColumn(out, F.expr(f"concat(slice(o_, 1, 1), array_compact(zip_with({pairs('o_', 1)}, (x, y) -> if(shiftright(x ^ y, 24) = 0, null, y))))")).drop("o_")
+
+
+def masks(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with low_ and high_: up to 2**24 code points a k-mer is known by 40 bits of its hash, beyond that by 35."""
+    bits = F.when(F.char_length(text) < 1 << 24, (1 << 24) - 1).otherwise((1 << 29) - 1).cast("bigint")
+    return df.withColumn("low_", bits).withColumn("high_", F.bitwise_not("low_"))
+
+
+def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the fingerprint of a column as an array of longs. Null and empty texts: no elements."""
+    df = masks(df.withColumn("t_", F.coalesce(F.col(text), F.lit(""))), "t_")
+    return sketch(kmers(df, "t_", "k_"), "k_", out).drop("t_", "k_", "k__b", "low_", "high_")
 
 
 def text_of(sketch: str) -> Column:
@@ -67,15 +89,17 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(F.col(a), F.col(b))) / F.greatest(either, F.lit(1)))
 
 
-def with_next(docs: DataFrame, ids: str = "doc_id", text: str = "text", ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` (id, text) with range_ and first_ (a copy that only serves as a next document).
 
-    Ranges start at ids of the table (exact-enough quantiles, at most ``ranges`` longs on the driver). The first document of
+    Ranges start at ids of the table (exact-enough quantiles, at most MOST_RANGES longs on the driver). The first document of
     a range is also put behind the range before, that of the first behind the last; so each document finds the next one in
     its own range, without one task that sees all ids. Null ids form a range of their own before the first.
     """
+    spark = docs.sparkSession
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     known = docs.where(F.col(ids).isNotNull())
-    least, cuts = known.agg(F.min(ids), F.percentile_approx(ids, [i / ranges for i in range(1, ranges)], 20_000)).first()
+    least, cuts = known.agg(F.min(ids), F.percentile_approx(ids, [i / ranges for i in range(1, ranges)], 10 * MOST_RANGES)).first()
     if least is None:
         return docs.withColumns({"range_": F.lit(-1), "first_": F.lit(False)})
     starts = sorted({int(least), *map(int, cuts)})
@@ -108,12 +132,15 @@ def edited_fingerprints(docs: DataFrame, ids: str = "doc_id", text: str = "text"
     df = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     df = with_next(df, "doc_id", "text")
     w = Window.partitionBy("range_").orderBy(F.col("first_"), F.col("doc_id").asc_nulls_first(), F.col("text"))
-    df = df.withColumn("next_", F.coalesce(F.lead("text").over(w), F.lit("")))
-    df = df.withColumn("n_chars", F.char_length("text"))
+    df = df.withColumns({"next_": F.coalesce(F.lead("text").over(w), F.lit("")), "row_": F.row_number().over(w), "n_chars": F.char_length("text")})
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.substring("next_", F.lit(1), quarter))).drop("next_")
-    df = fingerprint(fingerprint(df, "text", "a"), "edited", "b")
-    df = df.select("range_", "first_", "doc_id", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "b")
-    df = df.withColumn("c", F.lead("a").over(w)).where("not first_")
+    df = kmers(masks(df, "text"), "text", "k").drop("text")
+    # k-mers that end before the edit are those of the text
+    same = f"greatest(n_chars - cast(floor(n_chars / 4) as int) - {K - 1}, 0)"
+    df = kmers(df.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "t", same).drop("edited")
+    df = sketch(df, "k", "a").drop("k_b").withColumn("k", F.concat(F.slice("k", F.lit(1), F.expr(same)), F.col("t"))).drop("t")
+    df = sketch(df.withColumnRenamed("t_b", "k_b"), "k", "b").select("range_", "first_", "row_", "doc_id", "n_chars", "edited_sha256", "a", "b")
+    df = df.withColumn("c", F.lead("a").over(Window.partitionBy("range_").orderBy("row_"))).where("not first_")
     near_next = F.when(F.col("c").isNull(), 1.0).otherwise(likeness("a", "c"))
     return df.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", text_of("a").alias("fingerprint"), text_of("b").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), near_next.alias("near_next"))
