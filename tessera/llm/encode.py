@@ -148,7 +148,7 @@ class Encoder:
                 for k in [k for k in self.known[led] if k not in keep]:
                     del self.known[led][k]
                 self.again[led].clear()
-            else:
+            elif len(self.known[led]) > CACHE // 2:
                 self.again[led].update(seen.difference(new))
             self.learn(new, bool(led))
         first, behind = (k.__getitem__ for k in self.known)

@@ -5,7 +5,7 @@ only classes go on. Inverted lists of retained values propose pairs, the sketch
 full sets confirm it; connected components of confirmed links are the groups.
 
 *No link is lost to frequent values.* Two sets with a similarity of 0.75 or more share at least MIN_SHARED of their K least
-values (but for a chance below one in a million at the threshold itself, where the number is binomial with mean 24). Values
+values, but for a chance of 1.5 in a million at the threshold itself (there the number is binomial with mean 24). Values
 are ranked from rare to frequent, and a class enters only the lists of its ``K - MIN_SHARED + 1`` rarest ones: if two share
 MIN_SHARED values, they meet in one of those (the prefix filter). A passage that many documents hold is frequent, so its
 lists stay empty unless a document hardly holds anything else. Sets below K values are kept whole and the bound is exact.
