@@ -21,8 +21,10 @@ from .encode import encoder
 WINDOW = 2048
 #: Ids of a shard: what a task holds at a time, and where neighbours are looked for.
 SHARD_IDS = 3_000_000
-#: Terms of a seed that are looked up: those of the highest impact.
+#: Terms of a seed whose postings are added up at a time.
 QUERY_TERMS = 24
+#: Share of an index's documents after whose use their postings are dropped.
+STALE = 1 / 16
 K1, B = 1.2, 0.75
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -47,22 +49,27 @@ class Index:
         norm = K1 * (1 - B + B * np.maximum(size, 1) / max(1.0, size.mean() if n else 1))
         self.posting_doc, self.posting_weight = doc, idf[number] * tf * (K1 + 1) / (tf + norm[doc])
         by_doc = np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")
-        self.terms, self.weight = number[by_doc], self.posting_weight[by_doc]
+        self.terms = number[by_doc]
         self.first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
 
     def neighbours(self, i: int) -> np.ndarray:
-        """Documents that share the seed's strongest terms, best first, ties by number."""
-        terms, weight = self.terms[self.first[i] : self.first[i + 1]], self.weight[self.first[i] : self.first[i + 1]]
-        shared = self.df[terms] > 1
-        terms, weight = terms[shared], weight[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        count = self.df[terms]
-        rows = np.repeat(self.posting[terms] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        score = np.bincount(self.posting_doc[rows], weights=self.posting_weight[rows], minlength=self.n)
+        """Documents that share terms with the seed, best first by all of them, ties by number."""
+        terms = self.terms[self.first[i] : self.first[i + 1]]
+        terms = terms[self.df[terms] > 1]
+        score = np.zeros(self.n)
+        for lo in range(0, len(terms), QUERY_TERMS):
+            at = [slice(self.posting[t], self.posting[t + 1]) for t in terms[lo : lo + QUERY_TERMS].tolist()]
+            docs, weight = (np.concatenate([x[s] for s in at]) for x in (self.posting_doc, self.posting_weight))
+            score += np.bincount(docs, weights=weight, minlength=self.n)
         docs = np.flatnonzero(score)
         return docs[np.argsort(-score[docs], kind="stable")]
 
+    def drop(self, used: np.ndarray) -> None:
+        """Postings of used documents go; the scores of others stay as they are."""
+        keep = ~used[self.posting_doc]
+        self.posting = np.concatenate(([0], np.cumsum(keep)))[self.posting]
+        self.posting_doc, self.posting_weight = self.posting_doc[keep], self.posting_weight[keep]
+
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) that hold every id of ``docs`` once."""
@@ -75,18 +82,23 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
     index = Index([d[a:] for d, a in zip(docs, at)])
     left = [len(d) - a for d, a in zip(docs, at)]
     total, seed = sum(left), 0
+    used, kept = 0, sum(1 for n in left if n)  # since the last drop
     while total >= window:
         while not left[seed]:
             seed += 1
+        if used > STALE * kept:
+            index.drop(np.array(left) == 0)
+            used, kept = 0, kept - used
         pieces, room = [], window
 
         def take(i: int, n: int) -> None:
-            nonlocal room, total
+            nonlocal room, total, used
             pieces.append((i, at[i], n))
             at[i] += n
             left[i] -= n
             room -= n
             total -= n
+            used += not left[i]
 
         take(seed, left[seed])
         cut = -1

@@ -49,6 +49,35 @@ def test_neighbours_are_those_of_bm25():
         assert np.allclose(sorted(score, reverse=True)[: len(got)], [score[j] for j in got])
 
 
+def test_seeds_of_many_terms_are_scored_by_all():
+    rng = np.random.default_rng(5)
+    docs = [rng.choice(1500, size=rng.integers(200, 400)).astype(np.uint32) for _ in range(40)]
+    docs.append(np.arange(3000, 3300, dtype=np.uint32))
+    docs += [np.array([3000 + i], dtype=np.uint32) for i in range(300)]  # each shares one term with the last
+    index, n, mean = Index(docs), len(docs), np.mean([len(d) for d in docs])
+    tfs = [dict(zip(*(x.tolist() for x in np.unique(d, return_counts=True)))) for d in docs]
+    df = {}
+    for tf in tfs:
+        for t in tf:
+            df[t] = df.get(t, 0) + 1
+
+    def impact(t, j):
+        tf = tfs[j].get(t, 0)
+        return np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[j]) / mean))
+
+    gone = np.zeros(n, dtype=bool)
+    for used in ([], range(0, n, 3)):
+        gone[list(used)] = True
+        index.drop(gone)
+        for i in (*range(0, 40, 7), 40):
+            terms = [t for t in tfs[i] if df[t] > 1]
+            assert len(terms) > 100
+            score = [0.0 if gone[j] else sum(impact(t, j) for t in terms) for j in range(n)]
+            got = index.neighbours(i).tolist()
+            assert sorted(got) == [j for j in range(n) if score[j] > 0]
+            assert np.allclose(sorted(score, reverse=True)[: len(got)], [score[j] for j in got])
+
+
 def test_related_documents_share_windows():
     rng = np.random.default_rng(3)
     docs = [rng.integers(100 * (i % 5), 100 * (i % 5) + 100, size=32).astype(np.uint32) for i in range(100)]
