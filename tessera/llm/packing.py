@@ -1,38 +1,48 @@
 """Packing by lexical retrieval.
 
-Documents are dealt into shards as they are read, so there is no shuffle. A shard has a BM25 inverted index over token
-ids. The first unused document is the seed of a window; its best unused neighbours follow it in order of their score until
-the window is full. The last one is cut to fit, and its rest goes back into the pool. Of the ids that fill no window at the
-end of a shard, sequences of a power of two are made, which need no padding.
+One BM25 ranking over token ids holds for the whole table: document frequencies and the mean length are counted over all
+documents first, and every open window is a query to every shard of the index, so any unused document can follow any seed.
+Work goes in rounds. A round opens half of the windows still to come, each with a seed of its own, chosen by a hash; all open
+windows look for neighbours among all unused documents; a document that several windows ask for goes to the one with which it
+scores highest; and a window takes its documents in order of their score. The last one is cut to fit, and its rest goes back
+into the pool. Windows that are not full ask again in the next round. Of the ids that fill no window at the end, sequences
+of a power of two are made, which need no padding.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import _STAGED, shared_path, slices, staged, table, worker_cache
 from .encode import encoder
 
 WINDOW = 2048
-#: Ids of a shard: what a task holds at a time, and where neighbours are looked for.
+#: Ids of a shard of the index: what a task holds at a time.
 SHARD_IDS = 3_000_000
 #: Terms of a seed whose postings are added up at a time.
 QUERY_TERMS = 24
 #: Share of an index's documents after whose use their postings are dropped.
 STALE = 1 / 16
+#: Windows that the last round with new ones opens at most; others open half of those to come.
+LAST = 64
 K1, B = 1.2, 0.75
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+PIECES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 class Index:
-    """BM25 over the ids of a shard's documents: impacts by term, in two flat arrays."""
+    """BM25 over the ids of a shard's documents: impacts by term, in two flat arrays.
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    ``whole`` has the statistics of all shards: number of documents, their mean length, and document frequency by term.
+    """
+
+    def __init__(self, docs: list[np.ndarray], whole: tuple[int, float, np.ndarray] | None = None) -> None:
         n = self.n = len(docs)
         size = np.array([len(d) for d in docs], dtype=np.int64)
         flat = np.concatenate(docs).astype(np.int64) if n else np.empty(0, dtype=np.int64)
@@ -43,10 +53,12 @@ class Index:
         doc, term = cells & 0xFFFFFFFF, cells >> 32
         opens = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, dtype=np.int64)
         self.posting = np.append(opens, len(term))
-        self.df = np.diff(self.posting)
+        self.df, self.names = np.diff(self.posting), term[opens]
         number = np.repeat(np.arange(len(self.df)), self.df)
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
-        norm = K1 * (1 - B + B * np.maximum(size, 1) / max(1.0, size.mean() if n else 1))
+        total, mean, df = whole or (n, size.mean() if n else 1, None)
+        df = self.df if df is None else df[self.names]
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * np.maximum(size, 1) / max(1.0, mean))
         self.posting_doc, self.posting_weight = doc, idf[number] * tf * (K1 + 1) / (tf + norm[doc])
         by_doc = np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")
         self.terms = number[by_doc]
@@ -55,14 +67,24 @@ class Index:
     def neighbours(self, i: int) -> np.ndarray:
         """Documents that share terms with the seed, best first by all of them, ties by number."""
         terms = self.terms[self.first[i] : self.first[i + 1]]
-        terms = terms[self.df[terms] > 1]
+        score = self.scores(terms[self.df[terms] > 1])
+        docs = np.flatnonzero(score)
+        return docs[np.argsort(-score[docs], kind="stable")]
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """Scores of all documents for a query of the index's term numbers."""
         score = np.zeros(self.n)
         for lo in range(0, len(terms), QUERY_TERMS):
             at = [slice(self.posting[t], self.posting[t + 1]) for t in terms[lo : lo + QUERY_TERMS].tolist()]
             docs, weight = (np.concatenate([x[s] for s in at]) for x in (self.posting_doc, self.posting_weight))
             score += np.bincount(docs, weights=weight, minlength=self.n)
-        docs = np.flatnonzero(score)
-        return docs[np.argsort(-score[docs], kind="stable")]
+        return score
+
+    def number(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the terms of a query that the index holds."""
+        ids = np.unique(ids).astype(np.int64)
+        at = np.searchsorted(self.names, ids)
+        return at[self.names[np.minimum(at, len(self.names) - 1)] == ids] if len(self.names) else at[:0]
 
     def drop(self, used: np.ndarray) -> None:
         """Postings of used documents go; the scores of others stay as they are."""
@@ -72,7 +94,8 @@ class Index:
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length) that hold every id of ``docs`` once."""
+    """Sequences of pieces (document, start, length) that hold every id of ``docs`` once: packing of documents in memory, one
+    seed after the other."""
     out: list[list[tuple[int, int, int]]] = []
     at = [0] * len(docs)  # where the unused rest of each document starts
     for i, d in enumerate(docs):
@@ -134,45 +157,175 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
     return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, ids: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of all pieces of all documents.
+def encoded(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
+    """Rows (key, doc_id, start, length, doc_tokens, ids): the whole windows of each document, and what is left of it.
 
-    A map without shuffle: a shard is SHARD_IDS ids of one input partition in reading order, so memory is bounded, and the
-    same input splits give the same shards when a task is run again. ``window`` is a power of two. Null and empty texts are
-    a document of the end id alone; equal rows are packed like others, each on its own; other columns are left out; an
-    empty table gives no rows. Sequence numbers hold the partition in their high bits and are unique.
+    key: the partition, and the place of the first id in it; unique.
     """
     from pyspark import TaskContext
 
-    def flush(owners: list, held: list[np.ndarray], sequence: int) -> tuple[pa.RecordBatch, int]:
-        rows: list[tuple] = []
-        for pieces in pack_shard(held, window):
-            offset = 0
-            for i, start, n in pieces:
-                rows.append((owners[i], start, n, len(held[i]), sequence, offset, held[i][start : start + n].tobytes()))
-                offset += n
-            sequence += 1
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA), sequence
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path, "white"), np.array([end_id], dtype="<u4").tobytes()
-        sequence = TaskContext.get().partitionId() << 32
-        owners, held, full = [], [], 0
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for x in slices(batch):
+                rows: list[tuple] = []
                 for doc, got in zip(x.column(0).to_pylist(), encode([t or "" for t in x.column(1).to_pylist()])):
-                    owners.append(doc)
-                    held.append(np.frombuffer(got + end, dtype="<u4"))
-                    full += len(held[-1])
-                    if full >= SHARD_IDS:
-                        out, sequence = flush(owners, held, sequence)
-                        yield out
-                        owners, held, full = [], [], 0
-        if owners:
-            yield flush(owners, held, sequence)[0]
+                    got += end
+                    n = len(got) // 4
+                    for start in range(0, n, window):
+                        length = min(window, n - start)
+                        rows.append((key + start, doc, start, length, n, got[4 * start : 4 * (start + length)]))
+                    key += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+
+    return docs.mapInArrow(run, "key bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
+
+
+def frequencies(pool: DataFrame) -> np.ndarray:
+    """The number of documents that hold an id, by id; the driver gets one count for each id of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                ids = np.unique(np.frombuffer(x, dtype="<u4"))
+                if ids[-1] >= len(seen):
+                    seen = np.append(seen, np.zeros(int(ids[-1]) + 1 - len(seen), dtype=np.int64))
+                seen[ids] += 1
+        terms = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(seen[terms])], ["term", "df"])
+
+    rows = pool.select("ids").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    df = np.zeros(max((r.term for r in rows), default=-1) + 1, dtype=np.int64)
+    df[[r.term for r in rows]] = [r.df for r in rows]
+    return df
+
+
+def asked(pool: DataFrame, queries: str, whole, window: int) -> DataFrame:
+    """Rows (seq, key, score, left): of each shard of ``pool``, the best documents for each open window in the table
+    ``queries``, as many as two windows need."""
 
+    def search(keys: list[int], held: list[np.ndarray], left: list[int]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        index, key, size = Index(held, whole.value), np.array(keys), np.array(left)
+        fs, root = pyarrow.fs.FileSystem.from_uri(queries)
+        for f in sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(root)) if x.path.endswith(".parquet")):
+            with fs.open_input_file(f) as data:
+                for batch in pq.ParquetFile(data).iter_batches(1024, columns=["seq", "ids"]):
+                    out = []
+                    for seq, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                        score = index.scores(index.number(np.frombuffer(ids, dtype="<u4")))
+                        some = np.argpartition(-score, 64)[:64] if len(score) > 64 else np.arange(len(score))
+                        if size[some].sum() < 2 * window:
+                            some = np.arange(len(score))
+                        some = some[score[some] > 0]
+                        some = some[np.lexsort((key[some], -score[some]))]
+                        some = some[np.cumsum(size[some]) - size[some] < 2 * window]
+                        out.append((np.full(len(some), seq), key[some], score[some], size[some]))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["seq", "key", "score", "left"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
+        keys, held, left, full = [], [], [], 0
+        for batch in batches:
+            for k, n, x in zip(*(c.to_pylist() for c in batch.columns)):
+                keys.append(k)
+                left.append(n)
+                held.append(np.frombuffer(x, dtype="<u4"))
+                full += len(held[-1])
+                if full >= SHARD_IDS:
+                    yield from search(keys, held, left)
+                    keys, held, left, full = [], [], [], 0
+        if keys:
+            yield from search(keys, held, left)
+
+    return pool.select("key", "left", "ids").mapInArrow(run, "seq bigint, key bigint, score double, left bigint")
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` as a staged table, and its path."""
+    path = shared_path(df.sparkSession, what)
+    _STAGED.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, ids: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of all pieces of all documents.
+
+    A document gives whole windows first; its rest is a seed or a neighbour. Neighbours are those of the whole table, whatever
+    the input splits: seeds are chosen by a hash of id and ids, and scores use the statistics of all rests. Work grows with
+    the number of windows times the number of documents. Seeds that are opened in one round are not neighbours of one
+    another. ``window`` is a power of two. Null and empty texts are a document of the end id alone; equal rows are packed
+    like others, each on its own; other columns are left out; an empty table gives no rows. Sequence numbers are unique.
+    """
+    spark = docs.sparkSession
     rows = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    rows = staged(encoded(rows, path, end_id, window), "pieces")
+    rests = rows.where(F.col("length") < window)
+    pool = rests.select("key", F.xxhash64("doc_id", "ids").alias("hash"), F.lit(0).cast("bigint").alias("at"), F.col("length").alias("left"), "ids")
+    count, total = pool.agg(F.count(F.lit(1)), F.coalesce(F.sum("left"), F.lit(0))).first()
+    whole = spark.sparkContext.broadcast((count, total / max(1, count), frequencies(pool)))
+    pieces: list[DataFrame] = []  # (key, at, used, seq, offset)
+    opened, round_ = None, 0
+    while True:
+        count, total = pool.agg(F.count(F.lit(1)), F.coalesce(F.sum("left"), F.lit(0))).first()
+        waiting, room = opened.agg(F.count(F.lit(1)), F.coalesce(F.sum("room"), F.lit(0))).first() if opened is not None else (0, 0)
+        free = (total - room) // window
+        if not free and not waiting:
+            break
+        if free:
+            want = free if free <= LAST else free // 2
+            lot = F.pmod(F.xxhash64("hash", F.lit(round_)), F.lit(1 << 40))
+            chosen = lot < int((1 << 40) * want / count)
+            if free <= LAST or not 0 < pool.where(chosen).count() <= free:
+                chosen = F.col("key").isin([r.key for r in pool.orderBy(lot, "key").limit(min(want, LAST)).select("key").collect()])
+            seeds = pool.where(chosen).select((F.col("key") + F.col("at")).alias("seq"), "key", "at", "left", "ids")
+            pieces.append(staged(seeds.select("key", "at", F.col("left").alias("used"), "seq", F.lit(0).cast("bigint").alias("offset")), "seeds"))
+            new = seeds.select("seq", (F.lit(window) - F.col("left")).alias("room"), "ids")
+            opened = new if opened is None else opened.unionByName(new)
+            pool = pool.where(~chosen)
+        opened, queries = written(opened.where("room > 0"), "windows")
+        offers = staged(asked(pool, queries, whole, window), "offers")
+        best = offers.groupBy("key").agg(F.max(F.struct("score", F.negative("seq").alias("to"), "left")).alias("x"))
+        best = best.select("key", F.negative("x.to").alias("seq"), "x.score", "x.left").join(opened.select("seq", "room"), "seq")
+        before = F.sum("left").over(Window.partitionBy("seq").orderBy(F.col("score").desc(), "key")) - F.col("left")
+        taken = best.withColumn("before", before).where("before < room")
+        taken = taken.select("key", "seq", F.least("left", F.col("room") - F.col("before")).alias("used"), (F.lit(window) - F.col("room") + F.col("before")).alias("offset"))
+        taken = staged(pool.select("key", "at").join(taken, "key").select("key", "at", "used", "seq", "offset"), "taken")
+        pieces.append(taken)
+        gone = taken.select("key", F.col("used").alias("gone"))
+        pool = pool.join(gone, "key", "left").withColumns({"at": F.col("at") + F.coalesce("gone", F.lit(0)), "left": F.col("left") - F.coalesce("gone", F.lit(0))})
+        pool = staged(pool.where("left > 0").drop("gone"), "pool")
+        filled = taken.groupBy("seq").agg(F.sum("used").alias("filled"))
+        opened = opened.join(filled, "seq", "left").withColumn("room", F.col("room") - F.coalesce("filled", F.lit(0))).drop("filled").where("room > 0")
+        round_ += 1
+    # fewer ids than a window are left
+    last, rest = [], [(r.key, r.at, r.left) for r in pool.orderBy("hash", "key").select("key", "at", "left").collect()]
+    total = sum(n for _, _, n in rest)
+    while total:
+        size = room = 1 << (total.bit_length() - 1)
+        total -= size
+        seq = rest[-1][0] + rest[-1][1]
+        while room:
+            key, at, n = rest.pop()
+            used = min(n, room)
+            last.append((key, at, used, seq, size - room))
+            room -= used
+            if used < n:
+                rest.append((key, at + used, n - used))
+    if last:
+        pieces.append(spark.createDataFrame(last, "key bigint, at bigint, used bigint, seq bigint, offset bigint"))
+    out = rows.where(F.col("length") == window).select("doc_id", "start", "length", "doc_tokens", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), "ids")
+    if pieces:
+        cut = functools.reduce(DataFrame.unionByName, pieces).join(rests.select("key", "doc_id", "start", "doc_tokens", "ids"), "key")
+        part = F.expr("substring(ids, cast(4 * at + 1 as int), cast(4 * used as int))")
+        out = out.unionByName(cut.select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.col("used").alias("length"), "doc_tokens", F.col("seq").alias("sequence_id"), "offset", part.alias("ids")))
+    return out
 
 
 def packed(docs: DataFrame) -> DataFrame:

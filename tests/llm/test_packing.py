@@ -111,3 +111,23 @@ def test_rows(spark, monkeypatch):
         fill[r.sequence_id] = r.offset + r.length
     assert all(n == 256 or n < 256 and n & (n - 1) == 0 for n in fill.values())
     assert pack(df.limit(0), WORD, end_id=1).count() == 0
+
+
+def test_neighbours_are_those_of_the_whole_table(spark, monkeypatch):
+    """Related documents lie in different partitions and shards, one of each topic in each of them."""
+    monkeypatch.setattr(packing, "SHARD_IDS", 400)
+    rnd = random.Random(6)
+    words = [[f"{a}{b}" for b in rnd.sample("bcdfghjklmnpqrstvwxz", 12)] for a in ("ka", "lo", "mi", "nu", "pe", "ro")]
+    rows = [(10 * part + topic, " ".join(rnd.choices(words[topic], k=60))) for part in range(8) for topic in range(6)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, t, "en", "s", len(t)) for i, t in rows], 8), schema)
+    got = pack(df, WORD, end_id=1, window=256).collect()
+    topics = {}
+    for r in got:
+        topics.setdefault(r.sequence_id, []).append((r.doc_id % 10, r.doc_id // 10, r.length))
+    full = [x for x in topics.values() if sum(n for *_, n in x) == 256]
+    assert len(full) > 5 and all(len({p for _, p, _ in x}) > 1 for x in full)
+    assert np.mean([len({t for t, *_ in x}) for x in full]) < 2.5
+    again = pack(df.coalesce(1), WORD, end_id=1, window=256).collect()
+    windows = lambda rows: sorted(sorted((r.doc_id, r.start, r.length) for r in rows if r.sequence_id == s) for s in {r.sequence_id for r in rows})
+    assert windows(got) == windows(again)
