@@ -116,7 +116,10 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, k1, k2, sketch): size, key and K least values of each document's set; null keys for empty sets."""
+    """Rows (doc_id, hash, n, k1, k2, sketch): size, key and K least values of each document's set; null keys for empty sets.
+
+    ``docs`` has rows (doc_id, text, hash), the last one of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
@@ -128,9 +131,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 small = [s[:K] for s in sets]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in small]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(small or [np.empty(0, np.int64)]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists], ["doc_id", "n", "k1", "k2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), n, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists], ["doc_id", "hash", "n", "k1", "k2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sketch array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, hash bigint, n bigint, k1 bigint, k2 bigint, sketch array<bigint>")
 
 
 def shared_at_least(size: Column) -> Column:
@@ -165,7 +168,8 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (rep, set) of the classes ``wanted`` (rep, k1, k2), made anew from their texts."""
+    """Rows (rep, set) of the classes ``wanted`` (rep, least, of, k1, k2), made anew from a text of each: that of id ``least``
+    and hash ``of``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
@@ -173,13 +177,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in slices(batch, size=SLICE):
                 sets = shingles(texts_of(part.column(1)))
                 want = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist()))
-                # of rows that share an id, only those of the class
+                # of rows that share an id and a hash, only those of the class
                 rows = [i for i, (x, w) in enumerate(zip(sets, want)) if set_key(x) == w]
                 offsets = np.concatenate(([0], np.cumsum([len(sets[i]) for i in rows]))).astype(np.int32)
                 values = np.concatenate([sets[i] for i in rows] or [np.empty(0, np.int64)])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["rep", "set"])
 
-    rows = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2")
+    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("hash") == F.col("of"))).select("rep", "text", "k1", "k2")
     return staged(rows.mapInArrow(run, "rep bigint, set array<bigint>").dropDuplicates(["rep"]), "sets")
 
 
@@ -292,29 +296,25 @@ def apart(members: DataFrame) -> DataFrame:
     return members.join(mixed, "value", "left_semi")
 
 
-def groups(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``.
-
-    Documents are linked when 100 * intersection >= 75 * union of their shingle sets; component_id is the least id that
-    links reach. Empty sets (null and empty texts) are linked with nothing. A row with a null id takes part, but its null
-    is never a component: alone its component_id is null and it is kept. Rows that share an id but not a text are judged
-    by their own set, and one of them stands for the id in the search. Equal rows share a class, of which one row goes into the search, so copies never multiply. An empty
-    table gives no rows; other columns are left out.
-    """
+def prepared(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, text, hash): the hash of the text tells apart rows that share an id."""
     docs = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.withColumn("hash", F.xxhash64("text"))
+
+
+def found_groups(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, hash, n, component, least), one per row of ``docs`` (doc_id, text, hash): a key of the group that the row's
+    set belongs to, and the least id in it; both null for empty sets, the least id where a group has none."""
     own = staged(sketches(docs), "sketches")
-    classes = own.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    # a class has a key of its own, so neither rows that share an id nor rows without one are mistaken for others
+    classes = own.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))).alias("x"), F.min("hash").alias("of"), F.first("sketch").alias("sketch"))
+    classes = classes.select("k1", "k2", "n", F.monotonically_increasing_id().alias("rep"), F.col("x.doc_id").alias("least"), F.coalesce("x.hash", "of").alias("of"), "sketch")
     classes = staged(classes, "classes")
-    twice = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("k1", "k2", "n")).alias("x")).where("f > 1")
-    if not twice.isEmpty():
-        # rows that share an id, but not a text: the class of the least key searches for the id
-        other = classes.join(twice.select("rep", "x"), "rep").where(F.struct("k1", "k2", "n") != F.col("x"))
-        classes = staged(classes.join(other.select("k1", "k2", "n"), ["k1", "k2", "n"], "left_anti"), "classes")
     entered = staged(lists(classes), "lists")
     hub = entered.groupBy("value").agg(F.max(F.struct("typical", F.negative("rep").alias("r"))).alias("h"), F.count(F.lit(1)).alias("size"))
     hub = hub.where("size > 1").select("value", F.negative("h.r").alias("hub"))
     entered = staged(entered.join(hub, "value"), "lists")
-    sets = full_sets(docs, entered.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep"))
+    sets = full_sets(docs, entered.select("rep").distinct().join(classes.select("rep", "least", "of", "k1", "k2"), "rep"))
     star = entered.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = staged(confirmed(plausible(star, classes), sets), "links")
     found = components(links)
@@ -326,16 +326,38 @@ def groups(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFram
         rest = rest.join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
         links = links.unionByName(staged(block_links(rest), "links"))
         found = components(links)
-    named = classes.select("k1", "k2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", label)
-    rows = own.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
-    component = F.coalesce("component", "doc_id")
+    named = classes.select("k1", "k2", "n", "rep", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", "least", label)
+    named = named.drop("least").join(named.groupBy("component").agg(F.min("least").alias("least")), "component")
+    return own.select("doc_id", "hash", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left").drop("k1", "k2")
+
+
+def groups(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``.
+
+    Documents are linked when 100 * intersection >= 75 * union of their shingle sets; component_id is the least id that
+    links reach. Empty sets (null and empty texts) are linked with nothing. A row with a null id takes part, but its null
+    is never a component: where no other id is reached its component_id is null and it is kept. Rows that share an id but
+    not a text are judged by their own sets, each of which takes part. Equal rows share a class, of which one row goes into
+    the search, so copies never multiply. An empty table gives no rows; other columns are left out.
+    """
+    component = F.coalesce("least", "doc_id")
+    rows = found_groups(prepared(docs, ids, text))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``groups`` does not keep; rows that repeat an id go or stay by their own text's group."""
-    gone = groups(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each group, one of those with its least id; rows that repeat an id go or stay by their own
+    text's group. Rows with a null id and rows without words all stay."""
+    rows = found_groups(prepared(docs)).where("n > 0 and doc_id is not null")
+    rows = staged(rows.groupBy("doc_id", "hash").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("copies")), "groups")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    rows = staged(rows.join(first, "component").select(F.col("doc_id").alias("id_"), F.col("hash").alias("hash_"), (F.struct("doc_id", "hash") == F.col("first")).alias("stays_"), "copies"), "verdicts")
+    same = (F.col("doc_id").cast("bigint") == F.col("id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hash_"))
+    # only first rows that have copies are told apart by a shuffle
+    several = rows.where("stays_ and copies > 1").select("id_", "hash_")
+    left = docs.join(rows.where("not stays_ or copies > 1"), same, "left_anti")
+    one = docs.join(several, same).dropDuplicates(["id_", "hash_"])
+    return left.select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,19 @@ def test_edge_rows(spark):
     assert groups(df.limit(0)).count() == 0 and deduplicated(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rnd = random.Random(8)
+    x, y, z = (" ".join(rnd.choices("abcdefghijklmnop", k=40)) for _ in range(3))
+    near = lambda t: t + " end"
+    rows = [(5, x), (5, y), (9, y), (12, y), (13, near(y)), (None, z), (None, near(z)), (20, near(z) + " too"), (20, near(z) + " too"), (30, x)]
+    df = frame(spark, rows)
+    got = sorted(((str(r.doc_id), r.component_id) for r in groups(df).collect()), key=str)
+    assert got == sorted([("5", 5), ("5", 5), ("9", 5), ("12", 5), ("13", 5), ("30", 5), ("None", 20), ("None", 20), ("20", 20), ("20", 20)], key=str)
+    left = sorted(((r.doc_id, r.text) for r in deduplicated(df).collect()), key=str)
+    assert left == sorted([(5, x), (5, y), (20, near(z) + " too"), (None, z), (None, near(z))], key=str)
+    assert deduplicated(frame(spark, [(1, x), (1, x), (2, None), (2, None)])).count() == 3
+
+
 def test_shingles():
     texts = ["a b c d e f", "A b  c\td e f", "a b", "", "é É x y z", None]
     got = shingles([(t or "").encode() for t in texts])
