@@ -2,8 +2,8 @@
 
 Two first-order models over characters, one of random strings and one of ordinary identifiers and words, are trained from
 labelled samples. A candidate is a long run of key characters; the log-likelihood ratio of both models, summed over its
-transitions, decides. Patterns for assignments, access keys and hexadecimal keys give the base spans; candidates that the
-models take for random and that overlap no base span are added as kind ``markov``.
+transitions, decides. Patterns for assignments, access keys and hexadecimal keys give the base spans; these are cut out of the
+candidates, and what is left of them and the models take for random is added as kind ``markov``.
 
 Spark's regular expressions tell no offsets. They follow from the pieces between matches (``split``) and the matches
 (``regexp_extract_all``), whose lengths alternate; both run only over texts that have a match.
@@ -140,10 +140,23 @@ def scan(docs: DataFrame, llr: np.ndarray | None = None, text: str = "text", thr
         rows = F.transform(F.filter(f"{name}_tsx", test), lambda x: F.struct(x["start"].alias("start"), F.lit(pos).alias("pos"), F.lit(name if name != "token" else "markov").alias("kind"), x["end"].alias("end")))
         return F.coalesce(rows, empty)
 
-    df = df.withColumn("base_tsx", F.concat(*(spans(k, i, ok[k]) for i, k in enumerate(BASE))))
-    free = lambda x: ~F.exists("base_tsx", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    df = df.withColumn("base_tsx", F.array_sort(F.concat(*(spans(k, i, ok[k]) for i, k in enumerate(BASE)))))
+
+    def free(x: Column) -> Column:
+        """The parts of a candidate outside of base spans that are long enough."""
+        touching = F.filter("base_tsx", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        first = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+        def part(acc: Column, end: Column) -> Column:
+            cut = F.struct(acc["at"].alias("start"), end.alias("end"), F.substring(value(x), acc["at"] - x["start"] + 1, end - acc["at"]).alias("value"))
+            return F.when(end - acc["at"] >= MIN_TOKEN, F.concat(acc["out"], F.array(cut))).otherwise(acc["out"])
+
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), part(acc, b["start"]).alias("out"))
+        return F.when(F.size(touching) == 0, F.array(x)).otherwise(F.aggregate(touching, first, step, lambda acc: part(acc, x["end"])))
+
     random_ = lambda x: ratio(value(x), scores, codes) >= threshold
-    more = F.when(F.col("token_tsx").isNotNull(), spans("token", len(BASE), lambda x: free(x) & random_(x))).otherwise(empty)
+    df = df.withColumn("token_tsx", F.when(F.size("base_tsx") > 0, F.flatten(F.transform("token_tsx", free))).otherwise(F.col("token_tsx")))
+    more = F.when(F.col("token_tsx").isNotNull(), spans("token", len(BASE), random_)).otherwise(empty)
     df = df.withColumn("secrets_", F.array_sort(F.concat("base_tsx", more)))
     return df.drop("assign_tsx", "access_tsx", "hex_tsx", "token_tsx", "base_tsx")
 
