@@ -5,7 +5,8 @@ is a query. Scores are normalised by the score that an item gives itself, so the
 Retrieval is block-max WAND: a passage is dropped unless the bounds of its rare terms can lift some item to the threshold
 (an item's frequent terms alone cannot, which is how much mass ``need`` takes from them); then the block maxima of its terms
 tell the blocks of items in which the threshold can be reached; only those are scored. All items at or above it come out.
-A hit counts when the passage also holds the item's question and its answer, by word n-grams in order.
+A hit counts when the passage also holds the item's question and its answer, or an item without these fields as a whole, by
+word n-grams in order.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ class Index:
 
 
 def split_item(x: list[str]) -> tuple[list[str], list[str]]:
-    """Question and answer of an item without fields of its own: its first two thirds, and the rest."""
+    """An item in two parts: its first two thirds, and the rest."""
     at = len(x) - len(x) // 3
     return x[:at], x[at:]
 
@@ -159,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str
 
     A map without shuffle over whole texts. Test sets are small beside a corpus; still, an index holds MAX_ITEMS at most,
     and a larger benchmark is searched in several maps. If ``benchmark`` has columns question and answer, those are taken;
-    else an item's last third is its answer. Null and empty texts hold nothing; items without words are left out; equal
+    else the question is the whole item, and the answer, of no words, counts as held. Null and empty texts hold nothing; items without words are left out; equal
     items are all reported. An empty table on either side gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
@@ -168,7 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str
         rows = benchmark.select(F.col(item).cast("bigint"), "question", "answer").collect()
         listed = [(r[0], words(r[1] or ""), words(r[2] or "")) for r in rows]
     else:
-        listed = [(r[0], *split_item(words(r[1] or ""))) for r in benchmark.select(F.col(item).cast("bigint"), F.col(item_text)).collect()]
+        listed = [(r[0], words(r[1] or ""), []) for r in benchmark.select(F.col(item).cast("bigint"), F.col(item_text)).collect()]
     listed = sorted((x for x in listed if x[1] or x[2]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     rows = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = spark.createDataFrame([], schema) if not listed else None

@@ -74,6 +74,15 @@ def test_rows(spark, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in leaks(df, split).collect()] == [(10, 7)]
 
 
+def test_cut_items_are_found(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    others = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(2, 40)]
+    benchmark = spark.createDataFrame([(1, item), *others], "item_id bigint, text string")
+    x = item.split()
+    rows = [(1, " ".join(["before", *x[:15], "after"])), (2, " ".join(x[6:])), (3, item), (4, " ".join(x[:8])), (5, " ".join(sorted(x)))]
+    assert sorted((r.doc_id, r.item_id) for r in leaks(frame(spark, rows), benchmark).collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
 @needs_data
 def test_on_the_tables(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
