@@ -12,6 +12,7 @@ word n-grams in order.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,15 +55,25 @@ class Part:
         return len(self.grams & passage[self.n]) / len(self.grams) if self.grams else 1.0
 
 
+#: Number of items, their mean length, the longest length, and document frequency by word.
+Whole = tuple[int, float, int, dict[str, int]]
+
+
+def statistics(items: list[tuple[int, list[str], list[str]]]) -> Whole:
+    sizes = [len(q) + len(a) for _, q, a in items]
+    return len(items), sum(sizes) / max(1, len(items)), max(sizes, default=1), Counter(w for _, q, a in items for w in {*q, *a})
+
+
 class Index:
-    """``items``: (id, question words, answer words), of at least one word together."""
+    """``items``: (id, question words, answer words), of at least one word together. ``whole`` has the statistics of all items
+    where these are some of them."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], threshold: float = THRESHOLD) -> None:
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], threshold: float = THRESHOLD, whole: Whole | None = None) -> None:
+        total, mean, self.stride, often = whole or statistics(items)
         self.threshold = threshold
         self.ids = [i for i, _, _ in items]
         self.parts = [(Part(q), Part(a)) for _, q, a in items]
         bags = [q + a for _, q, a in items]
-        self.stride = max(map(len, bags), default=1)
         names = sorted({w for b in bags for w in b})
         self.term = {w: t for t, w in enumerate(names)}
         cells: dict[tuple[int, int], int] = {}
@@ -75,7 +86,8 @@ class Index:
         tf = np.array([cells[k] for k in keys], dtype=np.float64)
         n, df = len(items), np.bincount(t, minlength=len(names))
         size = np.array([len(b) for b in bags], dtype=np.float64)
-        weight = np.log1p((n - df + 0.5) / (df + 0.5))[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i] / max(1.0, size.mean() if n else 1)))
+        held_by = np.array([often[w] for w in names], dtype=np.int64)
+        weight = np.log1p((total - held_by + 0.5) / (held_by + 0.5))[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i] / max(1.0, mean)))
         weight /= np.bincount(i, weights=weight, minlength=n)[i] if n else 1
         self.items, self.weights = i, weight
         self.first = np.concatenate(([0], np.cumsum(df)))
@@ -87,7 +99,7 @@ class Index:
         self.block_first = np.searchsorted(opens, self.first)
         # rare terms of each item: rarest, then longest, until they hold what is left below the threshold, and RARE more
         length = np.array([len(w) for w in names])
-        order = np.lexsort((-length[t], df[t], i))
+        order = np.lexsort((-length[t], held_by[t], i))
         mass = np.cumsum(weight[order])
         starts = np.searchsorted(i[order], np.arange(n))
         before = mass - weight[order] - (mass - weight[order])[starts][i[order]] if n else mass
@@ -159,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap): one per document row and test item that it holds.
 
     A map without shuffle over whole texts. Test sets are small beside a corpus; still, an index holds MAX_ITEMS at most,
-    and a larger benchmark is searched in several maps. If ``benchmark`` has columns question and answer, those are taken;
+    and a larger benchmark is searched in several maps under the statistics of all items. If ``benchmark`` has columns question and answer, those are taken;
     else the question is the whole item, and the answer, of no words, counts as held. Null and empty texts hold nothing; items without words are left out; equal
     items are all reported. An empty table on either side gives no rows. Other columns are left out.
     """
@@ -173,9 +185,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str
     listed = sorted((x for x in listed if x[1] or x[2]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     rows = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = spark.createDataFrame([], schema) if not listed else None
+    total, mean, longest, often = statistics(listed)
     for lo in range(0, len(listed), MAX_ITEMS):
         part = listed[lo : lo + MAX_ITEMS]
-        found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(part)), schema)
+        own = {w: often[w] for _, q, a in part for w in (*q, *a)}
+        found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast((part, (total, mean, longest, own)))), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -183,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str
 def _searcher(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
-        index = Index(items.value)
+        index = Index(items.value[0], whole=items.value[1])
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:

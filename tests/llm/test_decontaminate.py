@@ -83,6 +83,18 @@ def test_cut_items_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in leaks(frame(spark, rows), benchmark).collect()) == [(1, 1), (2, 1), (3, 1)]
 
 
+def test_blocks_of_items_score_like_one_index(spark, monkeypatch):
+    rnd = random.Random(9)
+    common, rare = vocabulary(rnd, 20), vocabulary(rnd, 300)
+    items = [(i, rnd.choices(common, k=rnd.randint(2, 30)) + rnd.choices(rare, k=rnd.randint(2, 20))) for i in range(30)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    df = frame(spark, [(i, " ".join(rnd.choices(common, k=30) + w[: rnd.randint(3 * len(w) // 4, len(w))] + rnd.choices(rare, k=5))) for i, w in items])
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in leaks(df, benchmark).collect())
+    want = found()
+    monkeypatch.setattr(d, "MAX_ITEMS", 7)
+    assert len(want) > 10 and found() == want
+
+
 @needs_data
 def test_on_the_tables(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
