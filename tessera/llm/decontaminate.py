@@ -73,6 +73,8 @@ class Index:
         self.threshold = threshold
         self.ids = [i for i, _, _ in items]
         self.parts = [(Part(q), Part(a)) for _, q, a in items]
+        # an item without an answer is held, too, where both of its parts are
+        self.thirds = [() if a else tuple(map(Part, split_item(q))) for _, q, a in items]
         bags = [q + a for _, q, a in items]
         names = sorted({w for b in bags for w in b})
         self.term = {w: t for t, w in enumerate(names)}
@@ -152,11 +154,11 @@ class Index:
             passage = x[start : start + 2 * self.stride]
             grams: dict[int, set] = {}
             for i, score in self.retrieve(passage):
-                for part in self.parts[i]:
+                for part in (*self.parts[i], *self.thirds[i]):
                     if part.n not in grams:
                         grams[part.n] = ngrams(passage, part.n)
                 q, a = (part.overlap(grams) for part in self.parts[i])
-                if q >= OVERLAP and a >= OVERLAP:
+                if q >= OVERLAP and a >= OVERLAP or self.thirds[i] and all(p.overlap(grams) >= OVERLAP for p in self.thirds[i]):
                     best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (score, q, a))
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
 

@@ -95,6 +95,13 @@ def test_blocks_of_items_score_like_one_index(spark, monkeypatch):
     assert len(want) > 10 and found() == want
 
 
+def test_items_held_in_both_parts_only():
+    x = [f"w{k}" for k in range(9)]
+    index = Index([(1, x, []), *((i, [f"v{i}x{k}" for k in range(9)], []) for i in range(2, 9))])
+    # 3 of 4 trigrams of the first part and the one of the second, but 4 of 7 of the whole
+    assert [i for i, *_ in index.search(" ".join([*x[:5], "gap", *x[6:]]))] == [1]
+
+
 @needs_data
 def test_on_the_tables(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
