@@ -70,6 +70,17 @@ def worker_cache(name: str | None = None) -> dict:
     return _CACHES.setdefault(name, {}) if name else {}
 
 
+def released() -> None:
+    """Gives memory that a task has freed back to the system; to be called at the end of tasks that held much."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no such call in this C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``size`` bytes of text each (one row at least)."""
     import numpy as np

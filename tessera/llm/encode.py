@@ -18,8 +18,8 @@ import numpy as np
 from .common import worker_cache
 from .tokens import byte_symbols
 
-#: Pieces that a worker keeps. On overflow those that came back since the last overflow stay.
-CACHE = 900_000
+#: Pieces that a worker keeps, of some 200 bytes each. On overflow those that came back since the last overflow stay.
+CACHE = 200_000
 JOIN = 256
 _ALNUM = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _MARK = r"[!-&(-/:-@\[-`{-~]"

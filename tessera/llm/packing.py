@@ -1,121 +1,183 @@
 """Packing by lexical retrieval.
 
 One BM25 ranking over token ids holds for the whole table: document frequencies and the mean length are counted over all
-documents first, and every open window is a query to every shard of the index, so any unused document can follow any seed.
-Work goes in rounds. A round opens half of the windows still to come, each with a seed of its own, chosen by a hash; all open
-windows look for neighbours among all unused documents; a document that several windows ask for goes to the one with which it
-scores highest; and a window takes its documents in order of their score. The last one is cut to fit, and its rest goes back
-into the pool. Windows that are not full ask again in the next round. Of the ids that fill no window at the end, sequences
-of a power of two are made, which need no padding.
+documents first. Documents are dealt to the shards of the index by content: the signs of a document's BM25 vector along the
+main axes of a bounded sample make its cell, and cells, in order, are cut into shards of ``SHARD_IDS`` ids, so documents of one
+language or topic, and copies above all, meet in one shard. In each shard seeds are opened one after the other, each asks the
+shard's inverted index by all of its terms, and the unused neighbours fill its window in order of their score; the last one is
+cut to fit, and its rest stays unused. Of the ids that fill no window at the end of a shard, sequences of a power of two are
+made, which need no padding.
+
+A seed asks the shard that its content leads to and no other, so the work is in proportion to the input. README tells the share of
+the best neighbours that lie in other shards.
 """
 
 from __future__ import annotations
 
-import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import _STAGED, shared_path, slices, staged, table, worker_cache
+from .common import released, slices, staged, table
 from .encode import encoder
 
 WINDOW = 2048
 #: Ids of a shard of the index: what a task holds at a time.
 SHARD_IDS = 3_000_000
 #: Terms of a seed whose postings are added up at a time.
-QUERY_TERMS = 24
+QUERY_TERMS = 256
+#: Seeds whose scores are computed at a time.
+SEEDS = 32
 #: Share of an index's documents after whose use their postings are dropped.
-STALE = 1 / 16
-#: Windows that the last round with new ones opens at most; others open half of those to come.
-LAST = 64
+STALE = 1 / 8
+#: Terms that more than this share of a shard's documents hold have a row of impacts for all of them in place of postings.
+DENSE = 1 / 16
+#: Signs that make a cell, and so at most 2^16 cells; a cell of more than a shard is cut by a hash.
+BITS = 16
+#: Documents that the axes are fitted on (those of the least hash), and dimensions that terms are hashed to for it.
+SAMPLE, DIMENSIONS = 2048, 4096
+#: Tasks that pack shards, at most.
+TASKS = 20_000
 K1, B = 1.2, 0.75
-PIECES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+PIECES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("hash", pa.int64()), ("ids", pa.binary())])
+OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+OUT_DDL = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+
+
+def cells(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, occurrences) of the ids of documents, by term and document."""
+    flat = np.concatenate(docs).astype(np.int64) if docs else np.empty(0, dtype=np.int64)
+    flat <<= 32
+    flat |= np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    flat.sort()
+    opens = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, dtype=np.int64)
+    tf = np.diff(np.append(opens, len(flat))).astype(np.int32)
+    flat = flat[opens]
+    return (flat >> 32).astype(np.int32), (flat & 0xFFFFFFFF).astype(np.int32), tf
+
+
+def impact(idf: np.ndarray, tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
+    return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.maximum(size, 1) / max(1.0, mean)))).astype(np.float32)
+
+
+def rarity(total: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((total - df + 0.5) / (df + 0.5))
 
 
 class Index:
-    """BM25 over the ids of a shard's documents: impacts by term, in two flat arrays.
+    """BM25 over the ids of a shard's documents: impacts of frequent terms in a matrix, those of others in postings.
 
     ``whole`` has the statistics of all shards: number of documents, their mean length, and document frequency by term.
     """
 
     def __init__(self, docs: list[np.ndarray], whole: tuple[int, float, np.ndarray] | None = None) -> None:
-        n = self.n = len(docs)
+        n = len(docs)
+        #: Numbers of the documents that are still there, by column.
+        self.held = np.arange(n)
         size = np.array([len(d) for d in docs], dtype=np.int64)
-        flat = np.concatenate(docs).astype(np.int64) if n else np.empty(0, dtype=np.int64)
-        # one sort by (term, document) makes the postings; equal cells are counted
-        cells = np.sort(flat << 32 | np.repeat(np.arange(n), size))
-        opens = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.empty(0, dtype=np.int64)
-        tf, cells = np.diff(np.append(opens, len(cells))), cells[opens]
-        doc, term = cells & 0xFFFFFFFF, cells >> 32
+        term, doc, tf = cells(docs)
         opens = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, dtype=np.int64)
-        self.posting = np.append(opens, len(term))
-        self.df, self.names = np.diff(self.posting), term[opens]
-        number = np.repeat(np.arange(len(self.df)), self.df)
+        posting = np.append(opens, len(term))
+        self.df = np.diff(posting)
+        number = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
         total, mean, df = whole or (n, size.mean() if n else 1, None)
-        df = self.df if df is None else df[self.names]
-        idf = np.log1p((total - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * np.maximum(size, 1) / max(1.0, mean))
-        self.posting_doc, self.posting_weight = doc, idf[number] * tf * (K1 + 1) / (tf + norm[doc])
-        by_doc = np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")
+        idf = rarity(total, self.df if df is None else df[term[opens]])
+        weight = impact(idf[number], tf, size[doc], mean)
+        del term, tf
+        by_doc = np.argsort(doc, kind="stable")
         self.terms = number[by_doc]
         self.first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
+        del by_doc
+        frequent = self.df > max(1, DENSE * n)
+        #: Row of a frequent term in the matrix, else -1.
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.matrix = np.zeros((int(frequent.sum()), n), dtype=np.float32)
+        dense = frequent[number]
+        self.matrix[self.row[number[dense]], doc[dense]] = weight[dense]
+        self.posting = np.concatenate(([0], np.cumsum(~dense)))[posting]
+        self.posting_doc, self.posting_weight = doc[~dense], weight[~dense]
+
+    def scores(self, seeds: list[int]) -> np.ndarray:
+        """Scores of the documents held, a row for each seed, by all terms that it shares with others."""
+        query, n = np.zeros((len(seeds), len(self.matrix)), dtype=np.float32), len(self.held)
+        rest = []
+        for k, i in enumerate(seeds):
+            terms = self.terms[self.first[i] : self.first[i + 1]]
+            terms = terms[self.df[terms] > 1]
+            row = self.row[terms]
+            query[k, row[row >= 0]] = 1
+            rest.append(terms[row < 0])
+        out = query @ self.matrix
+        for k, terms in enumerate(rest):
+            for lo in range(0, len(terms), QUERY_TERMS):
+                at = [slice(a, b) for a, b in zip(*(self.posting[terms[lo : lo + QUERY_TERMS] + e].tolist() for e in (0, 1)))]
+                docs, weight = (np.concatenate([x[s] for s in at]) for x in (self.posting_doc, self.posting_weight))
+                out[k] += np.bincount(docs, weights=weight, minlength=n)
+        return out
+
+    def best(self, score: np.ndarray, first: int = 64) -> Iterator[int]:
+        """Documents of a score above 0, best first, ties by number."""
+        n = len(score)
+        if n > first:
+            some = np.flatnonzero(score >= np.partition(score, n - first)[n - first])
+            some = some[np.argsort(-score[some], kind="stable")]
+            some = some[score[some] > 0]
+            yield from self.held[some].tolist()
+            rest = np.flatnonzero((score > 0) & (score < score[some[-1]])) if len(some) else some
+        else:
+            rest = np.flatnonzero(score > 0)
+        yield from self.held[rest[np.argsort(-score[rest], kind="stable")]].tolist()
 
     def neighbours(self, i: int) -> np.ndarray:
         """Documents that share terms with the seed, best first by all of them, ties by number."""
-        terms = self.terms[self.first[i] : self.first[i + 1]]
-        score = self.scores(terms[self.df[terms] > 1])
-        docs = np.flatnonzero(score)
-        return docs[np.argsort(-score[docs], kind="stable")]
-
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        """Scores of all documents for a query of the index's term numbers."""
-        score = np.zeros(self.n)
-        for lo in range(0, len(terms), QUERY_TERMS):
-            at = [slice(self.posting[t], self.posting[t + 1]) for t in terms[lo : lo + QUERY_TERMS].tolist()]
-            docs, weight = (np.concatenate([x[s] for s in at]) for x in (self.posting_doc, self.posting_weight))
-            score += np.bincount(docs, weights=weight, minlength=self.n)
-        return score
-
-    def number(self, ids: np.ndarray) -> np.ndarray:
-        """Numbers of the terms of a query that the index holds."""
-        ids = np.unique(ids).astype(np.int64)
-        at = np.searchsorted(self.names, ids)
-        return at[self.names[np.minimum(at, len(self.names) - 1)] == ids] if len(self.names) else at[:0]
+        return np.array(list(self.best(self.scores([i])[0])), dtype=np.int64)
 
     def drop(self, used: np.ndarray) -> None:
-        """Postings of used documents go; the scores of others stay as they are."""
-        keep = ~used[self.posting_doc]
-        self.posting = np.concatenate(([0], np.cumsum(keep)))[self.posting]
-        self.posting_doc, self.posting_weight = self.posting_doc[keep], self.posting_weight[keep]
+        """Used documents go; the scores of others stay as they are."""
+        keep = ~used[self.held]
+        at = (np.cumsum(keep) - 1).astype(np.int32)
+        stays = keep[self.posting_doc]
+        self.posting = np.concatenate(([0], np.cumsum(stays)))[self.posting]
+        self.posting_doc, self.posting_weight = at[self.posting_doc[stays]], self.posting_weight[stays]
+        self.matrix, self.held = self.matrix[:, keep], self.held[keep]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, whole: tuple[int, float, np.ndarray] | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) that hold every id of ``docs`` once: packing of documents in memory, one
-    seed after the other."""
-    out: list[list[tuple[int, int, int]]] = []
+    seed after the other, in the order given."""
     at = [0] * len(docs)  # where the unused rest of each document starts
     for i, d in enumerate(docs):
         while len(d) - at[i] >= window:
-            out.append([(i, at[i], window)])
+            yield [(i, at[i], window)]
             at[i] += window
-    index = Index([d[a:] for d, a in zip(docs, at)])
     left = [len(d) - a for d, a in zip(docs, at)]
     total, seed = sum(left), 0
+    if total >= window:
+        index = Index([d[a:] for d, a in zip(docs, at)], whole)
     used, kept = 0, sum(1 for n in left if n)  # since the last drop
+    scored: dict[int, np.ndarray] = {}  # of the seeds to come, by the columns of the index as it is
     while total >= window:
         while not left[seed]:
             seed += 1
-        if used > STALE * kept:
-            index.drop(np.array(left) == 0)
-            used, kept = 0, kept - used
+        if seed not in scored:
+            if used > STALE * kept:
+                index.drop(np.array(left) == 0)
+                used, kept = 0, kept - used
+            coming, i = [], seed
+            while i < len(left) and len(coming) < SEEDS:
+                if left[i]:
+                    coming.append(i)
+                i += 1
+            scored = dict(zip(coming, index.scores(coming)))
         pieces, room = [], window
 
-        def take(i: int, n: int) -> None:
+        def take(i: int) -> None:
             nonlocal room, total, used
+            n = min(left[i], room)
             pieces.append((i, at[i], n))
             at[i] += n
             left[i] -= n
@@ -123,24 +185,18 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
             total -= n
             used += not left[i]
 
-        take(seed, left[seed])
-        cut = -1
-        for j in index.neighbours(seed).tolist():
+        take(seed)
+        for j in index.best(scored.pop(seed)) if room else ():
             if left[j]:
-                if left[j] <= room:
-                    take(j, left[j])
-                elif cut < 0:
-                    cut = j  # the best one that does not fit whole
+                take(j)
                 if not room:
                     break
-        if room and cut >= 0:
-            take(cut, room)
         j = seed
         while room:  # no neighbour is left: the next documents in order
             if left[j]:
-                take(j, min(left[j], room))
+                take(j)
             j += 1
-        out.append(pieces)
+        yield pieces
     rest = [(i, at[i], n) for i, n in enumerate(left) if n]
     while total:
         room = 1 << (total.bit_length() - 1)
@@ -148,38 +204,43 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
         pieces = []
         while room:
             i, start, n = rest.pop()
-            used = min(n, room)
-            pieces.append((i, start, used))
-            room -= used
-            if used < n:
-                rest.append((i, start + used, n - used))
-        out.append(pieces)
-    return out
+            some = min(n, room)
+            pieces.append((i, start, some))
+            room -= some
+            if some < n:
+                rest.append((i, start + some, n - some))
+        yield pieces
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
-    """Rows (key, doc_id, start, length, doc_tokens, ids): the whole windows of each document, and what is left of it.
+    """Rows (key, doc_id, start, length, doc_tokens, hash, ids): the whole windows of each document, and what is left of it.
 
-    key: the partition, and the place of the first id in it; unique.
+    key: the partition, and the place of the first id in it; unique. hash: of id and ids, and, where a partition holds equal
+    rows, of their number there, so that very many equal rows do not fall into one shard.
     """
+    import xxhash
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path, "white"), np.array([end_id], dtype="<u4").tobytes()
-        key = TaskContext.get().partitionId() << 40
+        key, seen = TaskContext.get().partitionId() << 40, Counter()
         for batch in batches:
             for x in slices(batch):
                 rows: list[tuple] = []
                 for doc, got in zip(x.column(0).to_pylist(), encode([t or "" for t in x.column(1).to_pylist()])):
                     got += end
-                    n = len(got) // 4
+                    n, mark = len(got) // 4, xxhash.xxh64_intdigest(b"%d " % doc if doc is not None else b"", xxhash.xxh32_intdigest(got))
+                    seen[mark] += 1
+                    if seen[mark] > 1:
+                        mark = xxhash.xxh64_intdigest(b"%d %d" % (mark, seen[mark]))
                     for start in range(0, n, window):
                         length = min(window, n - start)
-                        rows.append((key + start, doc, start, length, n, got[4 * start : 4 * (start + length)]))
+                        rows.append((key + start, doc, start, length, n, mark - (1 << 63), got[4 * start : 4 * (start + length)]))
                     key += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+        released()
 
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
+    return docs.mapInArrow(run, "key bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, hash bigint, ids binary")
 
 
 def frequencies(pool: DataFrame) -> np.ndarray:
@@ -202,134 +263,139 @@ def frequencies(pool: DataFrame) -> np.ndarray:
     return df
 
 
-def asked(pool: DataFrame, queries: str, whole, window: int) -> DataFrame:
-    """Rows (seq, key, score, left): of each shard of ``pool``, the best documents for each open window in the table
-    ``queries``, as many as two windows need."""
-
-    def search(keys: list[int], held: list[np.ndarray], left: list[int]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs
-        import pyarrow.parquet as pq
-
-        index, key, size = Index(held, whole.value), np.array(keys), np.array(left)
-        fs, root = pyarrow.fs.FileSystem.from_uri(queries)
-        for f in sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(root)) if x.path.endswith(".parquet")):
-            with fs.open_input_file(f) as data:
-                for batch in pq.ParquetFile(data).iter_batches(1024, columns=["seq", "ids"]):
-                    out = []
-                    for seq, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                        score = index.scores(index.number(np.frombuffer(ids, dtype="<u4")))
-                        some = np.argpartition(-score, 64)[:64] if len(score) > 64 else np.arange(len(score))
-                        if size[some].sum() < 2 * window:
-                            some = np.arange(len(score))
-                        some = some[score[some] > 0]
-                        some = some[np.lexsort((key[some], -score[some]))]
-                        some = some[np.cumsum(size[some]) - size[some] < 2 * window]
-                        out.append((np.full(len(some), seq), key[some], score[some], size[some]))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["seq", "key", "score", "left"])
+class Axes:
+    """Cells of documents by the signs of their BM25 vectors along the main axes of a sample, the widest first."""
+
+    def __init__(self, sample: list[np.ndarray], whole: tuple[int, float, np.ndarray], bits: int = BITS) -> None:
+        total, self.mean, df = whole
+        idf = rarity(total, df)
+        rng = np.random.default_rng(0)
+        place, sign = rng.integers(0, DIMENSIONS, size=len(df)), rng.choice(np.float32([-1, 1]), size=len(df))
+        term, doc, weight = self.vectors(sample, idf)
+        x = np.zeros((len(sample), DIMENSIONS), dtype=np.float32)
+        np.add.at(x, (doc, place[term]), weight * sign[term])
+        x -= x.mean(axis=0)
+        axes = rng.standard_normal((DIMENSIONS, bits)).astype(np.float32)
+        for _ in range(8):  # subspace iteration
+            axes, _ = np.linalg.qr(x.T @ (x @ axes))
+        axes = axes[:, np.argsort(-np.square(x @ axes).sum(axis=0), kind="stable")]
+        self.idf = idf.astype(np.float32)
+        #: Of each term, what it adds along each axis.
+        self.axes = (axes[place] * sign[:, None]).astype(np.float32)
+        self.middle = np.zeros(bits, dtype=np.float32)
+        self.middle = np.median(self.along(sample), axis=0)
+
+    def vectors(self, docs: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms, documents and impacts, those of a document as a vector of length 1."""
+        term, doc, tf = cells(docs)
+        weight = impact(idf[term], tf, np.array([len(d) for d in docs], dtype=np.int64)[doc], self.mean)
+        length = np.sqrt(np.bincount(doc, weights=np.square(weight), minlength=len(docs)))
+        return term, doc, weight / length[doc].astype(np.float32)
+
+    def along(self, docs: list[np.ndarray]) -> np.ndarray:
+        term, doc, weight = self.vectors(docs, self.idf)
+        order = np.argsort(doc, kind="stable")
+        term, weight = term[order], weight[order]
+        starts = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(docs)))))
+        out = np.zeros((len(docs), self.axes.shape[1]), dtype=np.float32)
+        for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
+            out[i] = weight[a:b] @ self.axes[term[a:b]]
+        return out
+
+    def cells(self, docs: list[np.ndarray]) -> np.ndarray:
+        side = (self.along(docs) > self.middle).astype(np.int64)
+        return side @ (1 << np.arange(side.shape[1] - 1, -1, -1, dtype=np.int64))
+
+
+def routed(rests: DataFrame, whole: tuple[int, float, np.ndarray]) -> DataFrame:
+    """``rests`` as a staged table, with the cell of each row."""
+    spark = rests.sparkSession
+    sample = [np.frombuffer(r.ids, dtype="<u4") for r in rests.orderBy("hash", "ids").limit(SAMPLE).select("ids").collect()]
+    axes = spark.sparkContext.broadcast(Axes(sample, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache()
-        keys, held, left, full = [], [], [], 0
         for batch in batches:
-            for k, n, x in zip(*(c.to_pylist() for c in batch.columns)):
-                keys.append(k)
-                left.append(n)
-                held.append(np.frombuffer(x, dtype="<u4"))
-                full += len(held[-1])
-                if full >= SHARD_IDS:
-                    yield from search(keys, held, left)
-                    keys, held, left, full = [], [], [], 0
-        if keys:
-            yield from search(keys, held, left)
+            for x in slices(batch, "ids"):
+                cell = axes.value.cells([np.frombuffer(i, dtype="<u4") for i in x.column("ids").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(cell)], [*x.schema.names, "cell"])
+        released()
 
-    return pool.select("key", "left", "ids").mapInArrow(run, "seq bigint, key bigint, score double, left bigint")
+    columns = rests.select("key", "doc_id", "start", "length", "doc_tokens", "hash", "ids")
+    return staged(columns.mapInArrow(run, "key bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, hash bigint, ids binary, cell bigint"), "routed")
 
 
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """``df`` as a staged table, and its path."""
-    path = shared_path(df.sparkSession, what)
-    _STAGED.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+def shards(rests: DataFrame) -> tuple[DataFrame, int]:
+    """``rests`` with a column shard, and the number of shards: cells in order, cut where a shard is full.
+
+    The driver gets the ids of each cell, at most 2^16 numbers; a cell that lies in several shards is dealt by hash.
+    """
+    spark, before, rows = rests.sparkSession, 0, []
+    for r in sorted(rests.groupBy("cell").agg(F.sum("length").alias("n")).collect(), key=lambda r: r.cell):
+        rows.append((r.cell, before, r.n))
+        before += r.n
+    starts = F.broadcast(spark.createDataFrame(rows, "cell bigint, before bigint, n bigint"))
+    share = F.pmod("hash", F.lit(1 << 32)) / float(1 << 32)
+    shard = F.floor((F.col("before") + F.col("n") * share) / SHARD_IDS)
+    return rests.join(starts, "cell").withColumn("shard", shard.cast("int")).drop("cell", "before", "n"), -(-before // SHARD_IDS)
 
 
 def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of all pieces of all documents.
 
-    A document gives whole windows first; its rest is a seed or a neighbour. Neighbours are those of the whole table, whatever
-    the input splits: seeds are chosen by a hash of id and ids, and scores use the statistics of all rests. Work grows with
-    the number of windows times the number of documents. Seeds that are opened in one round are not neighbours of one
-    another. ``window`` is a power of two. Null and empty texts are a document of the end id alone; equal rows are packed
-    like others, each on its own; other columns are left out; an empty table gives no rows. Sequence numbers are unique.
+    A document gives whole windows first; its rest is a seed or a neighbour. Shards, seeds and scores depend on ids and texts
+    alone, whatever the input splits (equal rows apart, which are dealt by their number in a split). ``window`` is a power of
+    two. Null and empty texts are a document of the end id alone; long texts are cut into windows; null ids are kept; equal
+    rows are packed like others, each on its own; ties of score go by hash; other columns are left out, whatever their names;
+    an empty table gives no rows. Sequence numbers are unique.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = staged(encoded(rows, path, end_id, window), "pieces")
-    rests = rows.where(F.col("length") < window)
-    pool = rests.select("key", F.xxhash64("doc_id", "ids").alias("hash"), F.lit(0).cast("bigint").alias("at"), F.col("length").alias("left"), "ids")
-    count, total = pool.agg(F.count(F.lit(1)), F.coalesce(F.sum("left"), F.lit(0))).first()
-    whole = spark.sparkContext.broadcast((count, total / max(1, count), frequencies(pool)))
-    pieces: list[DataFrame] = []  # (key, at, used, seq, offset)
-    opened, round_ = None, 0
-    while True:
-        count, total = pool.agg(F.count(F.lit(1)), F.coalesce(F.sum("left"), F.lit(0))).first()
-        waiting, room = opened.agg(F.count(F.lit(1)), F.coalesce(F.sum("room"), F.lit(0))).first() if opened is not None else (0, 0)
-        free = (total - room) // window
-        if not free and not waiting:
-            break
-        if free:
-            want = free if free <= LAST else free // 2
-            lot = F.pmod(F.xxhash64("hash", F.lit(round_)), F.lit(1 << 40))
-            chosen = lot < int((1 << 40) * want / count)
-            if free <= LAST or not 0 < pool.where(chosen).count() <= free:
-                chosen = F.col("key").isin([r.key for r in pool.orderBy(lot, "key").limit(min(want, LAST)).select("key").collect()])
-            seeds = pool.where(chosen).select((F.col("key") + F.col("at")).alias("seq"), "key", "at", "left", "ids")
-            pieces.append(staged(seeds.select("key", "at", F.col("left").alias("used"), "seq", F.lit(0).cast("bigint").alias("offset")), "seeds"))
-            new = seeds.select("seq", (F.lit(window) - F.col("left")).alias("room"), "ids")
-            opened = new if opened is None else opened.unionByName(new)
-            pool = pool.where(~chosen)
-        opened, queries = written(opened.where("room > 0"), "windows")
-        offers = staged(asked(pool, queries, whole, window), "offers")
-        best = offers.groupBy("key").agg(F.max(F.struct("score", F.negative("seq").alias("to"), "left")).alias("x"))
-        best = best.select("key", F.negative("x.to").alias("seq"), "x.score", "x.left").join(opened.select("seq", "room"), "seq")
-        before = F.sum("left").over(Window.partitionBy("seq").orderBy(F.col("score").desc(), "key")) - F.col("left")
-        taken = best.withColumn("before", before).where("before < room")
-        taken = taken.select("key", "seq", F.least("left", F.col("room") - F.col("before")).alias("used"), (F.lit(window) - F.col("room") + F.col("before")).alias("offset"))
-        taken = staged(pool.select("key", "at").join(taken, "key").select("key", "at", "used", "seq", "offset"), "taken")
-        pieces.append(taken)
-        gone = taken.select("key", F.col("used").alias("gone"))
-        pool = pool.join(gone, "key", "left").withColumns({"at": F.col("at") + F.coalesce("gone", F.lit(0)), "left": F.col("left") - F.coalesce("gone", F.lit(0))})
-        pool = staged(pool.where("left > 0").drop("gone"), "pool")
-        filled = taken.groupBy("seq").agg(F.sum("used").alias("filled"))
-        opened = opened.join(filled, "seq", "left").withColumn("room", F.col("room") - F.coalesce("filled", F.lit(0))).drop("filled").where("room > 0")
-        round_ += 1
-    # fewer ids than a window are left
-    last, rest = [], [(r.key, r.at, r.left) for r in pool.orderBy("hash", "key").select("key", "at", "left").collect()]
-    total = sum(n for _, _, n in rest)
-    while total:
-        size = room = 1 << (total.bit_length() - 1)
-        total -= size
-        seq = rest[-1][0] + rest[-1][1]
-        while room:
-            key, at, n = rest.pop()
-            used = min(n, room)
-            last.append((key, at, used, seq, size - room))
-            room -= used
-            if used < n:
-                rest.append((key, at + used, n - used))
-    if last:
-        pieces.append(spark.createDataFrame(last, "key bigint, at bigint, used bigint, seq bigint, offset bigint"))
     out = rows.where(F.col("length") == window).select("doc_id", "start", "length", "doc_tokens", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), "ids")
-    if pieces:
-        cut = functools.reduce(DataFrame.unionByName, pieces).join(rests.select("key", "doc_id", "start", "doc_tokens", "ids"), "key")
-        part = F.expr("substring(ids, cast(4 * at + 1 as int), cast(4 * used as int))")
-        out = out.unionByName(cut.select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.col("used").alias("length"), "doc_tokens", F.col("seq").alias("sequence_id"), "offset", part.alias("ids")))
-    return out
+    rests = rows.where(F.col("length") < window)
+    count, total = rests.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if not count:
+        return out
+    stats = (count, total / count, frequencies(rests))
+    whole = spark.sparkContext.broadcast(stats)
+    dealt, n = shards(routed(rests, stats))
+    tasks = min(n, TASKS)  # a task takes its shards one after the other
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") * tasks / n).cast("int")).sortWithinPartitions("shard", "hash", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sequences(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            got: list[tuple] = []
+            for pieces in pack_shard([np.frombuffer(r[6], dtype="<u4") for r in held], window, whole.value):
+                seq, offset = held[pieces[0][0]][0] + pieces[0][1], 0
+                for i, at, n in pieces:
+                    _, doc, start, _, tokens, _, raw, _ = held[i]
+                    got.append((doc, start + at, n, tokens, seq, offset, raw[4 * at : 4 * (at + n)]))
+                    offset += n
+                if len(got) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), OUT)], schema=OUT)
+                    got.clear()
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), OUT)], schema=OUT)
+
+        held: list[tuple] = []
+        full = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                # shards are equal but for chance; what is over twice the size would be a shard of its own
+                if held and (row[7] != held[-1][7] or full >= 2 * SHARD_IDS):
+                    yield from sequences(held)
+                    held, full = [], 0
+                held.append(row)
+                full += row[3]
+        if held:
+            yield from sequences(held)
+        released()
+
+    return out.unionByName(dealt.select("key", "doc_id", "start", "length", "doc_tokens", "hash", "ids", "shard").mapInArrow(run, OUT_DDL))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Digest rows of ``pack`` under the production parameters."""
+    """Digest rows of ``pack`` under the production parameters; odd rows as told there."""
     import public_tokenizers
 
     rows = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
