@@ -227,7 +227,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
         for batch in batches:
             for x in slices(batch):
                 rows: list[tuple] = []
-                for doc, got in zip(x.column(0).to_pylist(), encode([t or "" for t in x.column(1).to_pylist()])):
+                for doc, got in zip(x.column(0).to_pylist(), encode(x.column(1))):
                     got += end
                     n, mark = len(got) // 4, xxhash.xxh64_intdigest(b"%d " % doc if doc is not None else b"", xxhash.xxh32_intdigest(got))
                     seen[mark] += 1
@@ -310,7 +310,10 @@ class Axes:
 def routed(rests: DataFrame, whole: tuple[int, float, np.ndarray]) -> DataFrame:
     """``rests`` as a staged table, with the cell of each row."""
     spark = rests.sparkSession
-    sample = [np.frombuffer(r.ids, dtype="<u4") for r in rests.orderBy("hash", "ids").limit(SAMPLE).select("ids").collect()]
+    # so low a hash that twice the sample is expected below it, lest every task sorts and sends a sample of its own
+    low = int((1 << 64) * min(1.0, 2 * SAMPLE / whole[0])) - (1 << 63)
+    few = rests.where(F.col("hash") <= min(low, (1 << 63) - 1)).orderBy("hash", "ids").limit(SAMPLE).select("ids")
+    sample = [np.frombuffer(r.ids, dtype="<u4") for r in few.collect()]
     axes = spark.sparkContext.broadcast(Axes(sample, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int, cut: Literal["s
         full = 0
         for batch in batches:
             for x in slices(batch):
-                for doc, got in zip(x.column(0).to_pylist(), encode([t or "" for t in x.column(1).to_pylist()])):
+                for doc, got in zip(x.column(0).to_pylist(), encode(x.column(1))):
                     got += end
                     held.append(got)
                     owners.append(doc)
