@@ -170,16 +170,22 @@ class Encoder:
 
     def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens of its own; null is empty."""
+        ids, count = self.flat(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), (4 * np.cumsum(count)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same as one array of ids, and the number of ids of each text."""
         # nothing here makes cycles, and the collector would walk through millions of strings again and again
         collects = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""))
+            return self._flat(pc.fill_null(texts, ""))
         finally:
             if collects:
                 gc.enable()
 
-    def _encode(self, texts: pa.Array) -> list[bytes]:
+    def _flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         self.now += 1
         special = np.zeros(len(texts), dtype=bool)
         for s in self.special:
@@ -187,18 +193,25 @@ class Encoder:
         odd = np.zeros(len(texts), dtype=bool)
         if self.cut == "space":
             odd = pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False) & ~special
-        out: list[bytes] = [b""] * len(texts)
+        rest = ~special & ~odd
+        if rest.all():
+            return self._joined(self._plain(texts), self.cut == "space")
+        parts: list[np.ndarray] = [np.empty(0, dtype="<u4")] * len(texts)
         for i in np.flatnonzero(special).tolist():
-            out[i] = np.array(self.lib.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if odd.any():
-            at = np.flatnonzero(odd)
-            self._put(out, at, pa.array([self.mixed(t) for t in texts.take(pa.array(at)).to_pylist()], pa.list_(pa.string())), False)
-        at = np.flatnonzero(~special & ~odd)
-        plain = texts if len(at) == len(texts) else texts.take(pa.array(at))
-        self._put(out, at, pc.ascii_split_whitespace(plain) if self.cut == "white" else pc.split_pattern(plain, " "), self.cut == "space")
-        return out
-
-    def _put(self, out: list[bytes], at: np.ndarray, pieces: pa.ListArray, led: bool) -> None:
+            parts[i] = np.array(self.lib.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4")
+        for at, led in ((np.flatnonzero(odd), False), (np.flatnonzero(rest), self.cut == "space")):
+            if len(at):
+                some = texts.take(pa.array(at))
+                ids, count = self._joined(self._plain(some) if rest[at[0]] else pa.array(map(self.mixed, some.to_pylist()), pa.list_(pa.string())), led)
+                ends = np.cumsum(count)
+                for i, a, b in zip(at.tolist(), (ends - count).tolist(), ends.tolist()):
+                    parts[i] = ids[a:b]
+        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+
+    def _plain(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(texts) if self.cut == "white" else pc.split_pattern(texts, " ")
+
+    def _joined(self, pieces: pa.ListArray, led: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that are lists of pieces. led: a space leads all pieces of a text but the first."""
         bounds = pieces.offsets.to_numpy()
         words, bounds = pieces.values.slice(bounds[0], bounds[-1] - bounds[0]), bounds - bounds[0]
@@ -211,10 +224,8 @@ class Encoder:
             number[first] = opens
             kinds = pa.concat_arrays([kinds.take(pa.array(opening)), pc.binary_join_element_wise(" ", kinds, "")])
         rows = self.rows(kinds)[number]
-        raw = self.gather(rows).tobytes()
-        ends = 4 * np.concatenate(([0], np.cumsum(self.count[rows], dtype=np.int64)))[bounds]
-        for i, a, b in zip(at.tolist(), ends.tolist(), ends[1:].tolist()):
-            out[i] = raw[a:b]
+        ends = np.concatenate(([0], np.cumsum(self.count[rows], dtype=np.int64)))[bounds]
+        return self.gather(rows), np.diff(ends)
 
 
 def encoder(path: str, cut: Literal["space", "white"]) -> Encoder:

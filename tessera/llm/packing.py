@@ -212,45 +212,66 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, whole: tuple[int, f
         yield pieces
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
+def binaries(flat: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Consecutive parts of an array of ids, by their numbers of ids, without a copy of them."""
+    ends = np.concatenate(([0], np.cumsum(count) * flat.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def width(path: str) -> str:
+    """The type of ids in staged tables: two bytes where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, window: int, kind: str) -> DataFrame:
     """Rows (key, doc_id, start, length, doc_tokens, hash, ids): the whole windows of each document, and what is left of it.
 
     key: the partition, and the place of the first id in it; unique. hash: of id and ids, and, where a partition holds equal
-    rows, of their number there, so that very many equal rows do not fall into one shard.
+    rows, of their number there, so that very many equal rows do not fall into one shard. ids: of numpy type ``kind``.
     """
     import xxhash
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, "white"), np.array([end_id], dtype="<u4").tobytes()
-        key, seen = TaskContext.get().partitionId() << 40, Counter()
+        encode, key, seen = encoder(path, "white"), TaskContext.get().partitionId() << 40, Counter()
         for batch in batches:
             for x in slices(batch):
-                rows: list[tuple] = []
-                for doc, got in zip(x.column(0).to_pylist(), encode(x.column(1))):
-                    got += end
-                    n, mark = len(got) // 4, xxhash.xxh64_intdigest(b"%d " % doc if doc is not None else b"", xxhash.xxh32_intdigest(got))
+                ids, count = encode.flat(x.column(1))
+                tokens = count + 1
+                ends = np.cumsum(tokens)
+                flat = np.full(int(ends[-1]), end_id, dtype=kind)
+                own = np.ones(len(flat), dtype=bool)
+                own[ends - 1] = False
+                flat[own] = ids
+                marks, raw = [], memoryview(flat).cast("B")
+                for doc, lo, hi in zip(x.column(0).to_pylist(), ((ends - tokens) * flat.itemsize).tolist(), (ends * flat.itemsize).tolist()):
+                    mark = xxhash.xxh64_intdigest(raw[lo:hi], 0 if doc is None else 1 + doc % ((1 << 64) - 1))
                     seen[mark] += 1
                     if seen[mark] > 1:
                         mark = xxhash.xxh64_intdigest(b"%d %d" % (mark, seen[mark]))
-                    for start in range(0, n, window):
-                        length = min(window, n - start)
-                        rows.append((key + start, doc, start, length, n, mark - (1 << 63), got[4 * start : 4 * (start + length)]))
-                    key += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+                    marks.append(mark - (1 << 63))
+                pieces = -(-tokens // window)
+                of = np.repeat(np.arange(len(tokens)), pieces)
+                start = window * (np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of])
+                length = np.minimum(window, tokens[of] - start)
+                columns = [key + (ends - tokens)[of] + start, x.column(0).take(pa.array(of)), start, length, tokens[of], np.array(marks, dtype=np.int64)[of], binaries(flat, length)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=PIECES)
+                key += len(flat)
         released()
 
     return docs.mapInArrow(run, "key bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, hash bigint, ids binary")
 
 
-def frequencies(pool: DataFrame) -> np.ndarray:
+def frequencies(pool: DataFrame, kind: str) -> np.ndarray:
     """The number of documents that hold an id, by id; the driver gets one count for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                ids = np.unique(np.frombuffer(x, dtype="<u4"))
+                ids = np.unique(np.frombuffer(x, dtype=kind))
                 if ids[-1] >= len(seen):
                     seen = np.append(seen, np.zeros(int(ids[-1]) + 1 - len(seen), dtype=np.int64))
                 seen[ids] += 1
@@ -307,19 +328,19 @@ class Axes:
         return side @ (1 << np.arange(side.shape[1] - 1, -1, -1, dtype=np.int64))
 
 
-def routed(rests: DataFrame, whole: tuple[int, float, np.ndarray]) -> DataFrame:
+def routed(rests: DataFrame, whole: tuple[int, float, np.ndarray], kind: str) -> DataFrame:
     """``rests`` as a staged table, with the cell of each row."""
     spark = rests.sparkSession
     # so low a hash that twice the sample is expected below it, lest every task sorts and sends a sample of its own
     low = int((1 << 64) * min(1.0, 2 * SAMPLE / whole[0])) - (1 << 63)
     few = rests.where(F.col("hash") <= min(low, (1 << 63) - 1)).orderBy("hash", "ids").limit(SAMPLE).select("ids")
-    sample = [np.frombuffer(r.ids, dtype="<u4") for r in few.collect()]
+    sample = [np.frombuffer(r.ids, dtype=kind) for r in few.collect()]
     axes = spark.sparkContext.broadcast(Axes(sample, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in slices(batch, "ids"):
-                cell = axes.value.cells([np.frombuffer(i, dtype="<u4") for i in x.column("ids").to_pylist()])
+                cell = axes.value.cells([np.frombuffer(i, dtype=kind) for i in x.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.array(cell)], [*x.schema.names, "cell"])
         released()
 
@@ -351,41 +372,56 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, ids: str
     rows are packed like others, each on its own; ties of score go by hash; other columns are left out, whatever their names;
     an empty table gives no rows. Sequence numbers are unique.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, width(path)
     rows = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(encoded(rows, path, end_id, window), "pieces")
-    out = rows.where(F.col("length") == window).select("doc_id", "start", "length", "doc_tokens", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), "ids")
+    rows = staged(encoded(rows, path, end_id, window, kind), "pieces")
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("ids")
+            ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1] // np.dtype(kind).itemsize
+            flat = np.frombuffer(raw.buffers()[2] or b"", dtype=kind)[ends[0] : ends[-1]].astype("<u4")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binaries(flat, np.diff(ends))], schema=OUT)
+
+    whole_windows = rows.where(F.col("length") == window)
+    out = whole_windows.select("doc_id", "start", "length", "doc_tokens", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), "ids").mapInArrow(wide, OUT_DDL)
     rests = rows.where(F.col("length") < window)
     count, total = rests.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     if not count:
         return out
-    stats = (count, total / count, frequencies(rests))
+    stats = (count, total / count, frequencies(rests, kind))
     whole = spark.sparkContext.broadcast(stats)
-    dealt, n = shards(routed(rests, stats))
+    dealt, n = shards(routed(rests, stats, kind))
     tasks = min(n, TASKS)  # a task takes its shards one after the other
     dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") * tasks / n).cast("int")).sortWithinPartitions("shard", "hash", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(got: list[tuple]) -> pa.RecordBatch:
+            *columns, parts = zip(*got)
+            flat = np.concatenate(parts).astype("<u4")
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, OUT)), binaries(flat, np.array(columns[2]))], schema=OUT)
+
         def sequences(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             got: list[tuple] = []
-            for pieces in pack_shard([np.frombuffer(r[6], dtype="<u4") for r in held], window, whole.value):
+            docs = [np.frombuffer(r[5], dtype=kind) for r in held]
+            for pieces in pack_shard(docs, window, whole.value):
                 seq, offset = held[pieces[0][0]][0] + pieces[0][1], 0
                 for i, at, n in pieces:
-                    _, doc, start, _, tokens, _, raw, _ = held[i]
-                    got.append((doc, start + at, n, tokens, seq, offset, raw[4 * at : 4 * (at + n)]))
+                    _, doc, start, _, tokens, _, _ = held[i]
+                    got.append((doc, start + at, n, tokens, seq, offset, docs[i][at : at + n]))
                     offset += n
                 if len(got) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), OUT)], schema=OUT)
+                    yield batch_of(got)
                     got.clear()
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), OUT)], schema=OUT)
+                yield batch_of(got)
 
         held: list[tuple] = []
         full = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 # shards are equal but for chance; what is over twice the size would be a shard of its own
-                if held and (row[7] != held[-1][7] or full >= 2 * SHARD_IDS):
+                if held and (row[6] != held[-1][6] or full >= 2 * SHARD_IDS):
                     yield from sequences(held)
                     held, full = [], 0
                 held.append(row)
@@ -394,7 +430,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, ids: str
             yield from sequences(held)
         released()
 
-    return out.unionByName(dealt.select("key", "doc_id", "start", "length", "doc_tokens", "hash", "ids", "shard").mapInArrow(run, OUT_DDL))
+    return out.unionByName(dealt.select("key", "doc_id", "start", "length", "doc_tokens", "ids", "shard").mapInArrow(run, OUT_DDL))
 
 
 def packed(docs: DataFrame) -> DataFrame:
