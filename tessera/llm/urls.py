@@ -8,6 +8,8 @@ explicitly allowed, else a block if any is blocked, else the default.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,10 +96,10 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return staged(rows.select(F.col("key_").alias("a"), F.col("to_key_").alias("b")), "links").where("a != b")
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str | None = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str | None = "html", redirects: DataFrame | None = None, default: str = "allow", edges: DataFrame | None = None) -> DataFrame:
     """``pages`` with the columns host_, path_, rule_ (text), alias_ (component) and verdict_.
 
-    ``redirects`` adds rows (src, dst) of URLs to what the pages' own html tells; a null or malformed URL has no key, so it
+    ``redirects`` adds rows (src, dst) of URLs to what the pages' own html tells, ``edges`` rows (a, b) that ``links`` has made; a null or malformed URL has no key, so it
     has no aliases and takes its own rule or the default. Repeated rows are judged alike. Empty tables give no rows. The
     decision of each key is pre-aggregated (a partial maximum), so a key with a third of all rows costs one row after the
     shuffle; the join back has one row per key on its right, and adaptive execution splits hot keys. Columns of ``pages``
@@ -105,15 +107,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
     """
     df = matched(pages, rules, url)
     told = df.where("key_ is not null and rule_ is not null").groupBy("key_").agg(F.max(F.col("rule_.allow").cast("int")).alias("allow_"), F.max((~F.col("rule_.allow")).cast("int")).alias("block_"))
-    edges = [links(pages, url, html)] if html else []
+    known = [links(pages, url, html)] if html else []
     if redirects is not None:
         rows = with_parts(with_parts(redirects.select("src", "dst"), "src", "a_"), "dst", "b_")
-        edges.append(staged(rows.select(F.col("a_key_").alias("a"), F.col("b_key_").alias("b")), "links"))
-    groups = None
-    if edges:
-        both = edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])
-        groups = components(both)
-    if groups is not None:
+        known.append(staged(rows.select(F.col("a_key_").alias("a"), F.col("b_key_").alias("b")), "links"))
+    if edges is not None:
+        known.append(edges)
+    if known:
+        groups = components(functools.reduce(DataFrame.unionByName, known))
         told = told.withColumnRenamed("key_", "node").join(groups, "node", "left").withColumn("alias_", F.coalesce("component", "node"))
         told = told.groupBy("alias_").agg(F.max("allow_").alias("allow_"), F.max("block_").alias("block_"))
         df = df.join(groups.withColumnsRenamed({"node": "key_", "component": "alias_"}), "key_", "left").withColumn("alias_", F.coalesce("alias_", "key_"))
@@ -126,12 +127,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; edges come from their html, and the joins then shuffle addresses and not pages."""
     pages = table(spark, sf_dir, "pages")
-    edges = links(pages)
-    # edges first, so that the join below shuffles addresses and not pages
-    out = filter_urls(pages.select("page_id", "url"), RULES, html=None, redirects=None) if edges.isEmpty() else None
-    if out is None:
-        out = filter_urls(pages, RULES)
+    out = filter_urls(pages.select("page_id", "url"), RULES, html=None, edges=links(pages))
     return out.select("page_id", F.col("host_").alias("host"), F.col("path_").alias("path"), F.col("rule_").alias("rule"), F.col("verdict_").alias("verdict"))
 
 

@@ -80,3 +80,52 @@ def test_components(spark):
     linked = {x for a, b in edges if a is not None and a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_planted_links_at_size(spark):
+    """Chains, cycles, stars and conflicts among 100,000 pages, as html links and as redirects, against union-find."""
+    import random
+
+    rnd, n = random.Random(5), 100_000
+    url = [f"http://h{i % 977}.{rnd.choice(['com', 'net', 'io', 'io'])}/{rnd.choice(['en', 'de', 'x', 'y', 'z'])}/{i}" for i in range(n)]
+    edges = [(i, i + 1) for i in range(0, 3000) if i % 60]
+    edges += [(4000 + i, 4000 + (i + 1) % 50) for i in range(50)] + [(5000, x) for x in range(5001, 9000)]
+    edges += [(rnd.randrange(10_000, n), rnd.randrange(10_000, n)) for _ in range(30_000)]
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    html = [""] * n
+    plain = []
+    for a, b in edges:
+        parent[find(a)] = find(b)
+        if html[a] == "":
+            html[a] = f'<link rel="canonical" href="{url[b]}">'
+        else:
+            plain.append((url[a], url[b]))
+    own = []
+    for u in url:
+        host, path = brute(u)
+        fits = [(len(h + p), v) for v, h, p in RULES if ("." + host).endswith("." + h) and path.startswith(p)]
+        own.append(max(fits)[1] if fits else None)
+    told = {}
+    for i, v in enumerate(own):
+        told.setdefault(find(i), set()).add(v)
+    want = {i: v or ("allow" if "allow" in told[find(i)] or "block" not in told[find(i)] else "block") for i, v in enumerate(own)}
+    import pandas as pd
+
+    pages = spark.createDataFrame(pd.DataFrame({"page_id": range(n), "url": url, "html": html}))
+    redirects = spark.createDataFrame(plain, "src string, dst string")
+    got = dict(filter_urls(pages, RULES, redirects=redirects).select("page_id", "verdict_").toPandas().itertuples(index=False))
+    assert got == want and sum(v == "block" and o is None for v, o in zip((want[i] for i in range(n)), own)) > 1000
+
+
+def test_query_runs_the_components(spark, tmp_path):
+    from tessera.llm.urls import op1_url_filters
+
+    rows = [(1, "http://bad.com/en/1", ""), (2, "http://copy.io/a", '<link rel="canonical" href="http://bad.com/en/1">'), (3, "http://other.io/", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.page_id: r.verdict for r in op1_url_filters(spark, str(tmp_path)).collect()} == {1: "block", 2: "block", 3: "allow"}
