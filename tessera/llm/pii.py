@@ -1,12 +1,18 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in one pass: at-signs, ``://`` and the cues of identifiers. A deterministic parser
-for each kind expands an anchor to its left and right over the characters that its kind allows, and validates the result
-(domain labels, octets, the Luhn and the mod-97 sum). Numbers without a cue (ip, card, phone) are anchored at digits.
+An Aho-Corasick automaton finds anchors in one pass: at-signs, ``://``, digits, plus signs, the cues of identifiers and the
+names of streets. A deterministic parser for each kind expands an anchor to its left and right over the characters that its
+kind allows, and validates the result (domain labels, octets, the Luhn and the mod-97 sum, word boundaries on both sides).
+
+Kinds: email, ip, card and phone have the base patterns; the method adds address (a URL that names a user and a password),
+account (a number or a code behind a cue: bank, identity, passport, licence, tax) and postal (house number, street, and the
+place behind it). Where an added span starts inside another one it is left out, first come by kind as listed; base spans may overlap.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -19,21 +25,37 @@ from .common import slices, table
 
 #: Base kinds in the order in which spans are listed; the kinds that the method adds follow.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "address", "account")
-CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
+KINDS = (*BASE, "address", "account", "postal")
+CUES = (
+    "iban", "account", "acct", "konto", "kontonummer", "compte", "cuenta", "ssn", "social security", "passport", "reisepass", "passeport", "pasaporte",
+    "license", "licence", "tax id", "taxpayer id", "steuernummer", "national id", "identity card", "ausweis", "member id", "patient id", "dni", "nif",
+)
+#: Words that end (or, of those in ``FRONT``, begin) the name of a street.
+STREETS = ("street", "avenue", "road", "boulevard", "lane", "drive", "strasse", "straße", "weg", "platz")
+FRONT = ("rue", "calle", "avenida", "via")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DIGIT = re.compile(r"[0-9]")
-# a match can only start where a run of digits does, so the look-behind changes no match and keeps long runs linear
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s/?#@]*@[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
-_AFTER_CUE = re.compile(r"(?:[ \t]*(?:no|number|nr|num|id)\b\.?)?[ \t]*[:#=]?[ \t]*", re.I)
+_LINK = r"(?:[ \t]+(?:no|number|nr|num|numbers?|nummer|id|code|is|was|of|my|ist|lautet|est|es|card)\b\.?){0,4}"
+_AFTER_CUE = re.compile(rf"{_LINK}[ \t]*[:#=]?{_LINK}[ \t]*[:#=]?[ \t]*", re.I)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,17}(?![0-9])")
+#: Letters and digits: 6 to 14, of which some are digits.
+_CODE = re.compile(r"(?=[A-Z0-9-]*[0-9][A-Z0-9-]*[0-9])[A-Z0-9](?:-?[A-Z0-9]){5,13}(?![A-Za-z0-9])")
+_NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]{0,30}"
+_HOUSE = r"[0-9]{1,5}[A-Za-z]?"
+_PLACE = re.compile(rf"(?:,?[ ](?:[0-9]{{4,5}}[ ])?{_NAME}(?:[ ]{_NAME}){{0,2}}(?:,?[ ][A-Z]{{2}})?(?:[ ][0-9]{{5}})?)?")
+_BEFORE_STREET = re.compile(rf"(?<!\w)(?:({_HOUSE})[ ])?(?:{_NAME}[ -]){{0,3}}(?:{_NAME})?$")
+_AFTER_STREET = re.compile(rf"[ ]{_HOUSE}(?!\w)")
+_AFTER_FRONT = re.compile(rf"(?:[ ](?:de|du|des|la|le|del|della|di|l'))*(?:[ ]{_NAME}){{1,3}}")
+_BEFORE_FRONT = re.compile(rf"(?<!\w){_HOUSE},?[ ]$")
+#: Characters that a name of a street takes at most to the left of its anchor.
+_REACH = 100
 
 
 class Span(NamedTuple):
@@ -68,18 +90,30 @@ def emails(text: str, anchors: list[int]) -> Iterator[Span]:
             yield Span("email", start, done)
 
 
-def numbers(text: str) -> Iterator[Span]:
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            yield Span("ip", *m.span())
-    for m in _CARD.finditer(text):
-        digits = m.group().replace(" ", "").replace("-", "")
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            yield Span("card", *m.span())
-    if "+" in text:
-        for m in _PHONE.finditer(text):
+def numbers(text: str, digits: list[int]) -> Iterator[Span]:
+    """IP addresses and card numbers; ``digits`` are the places where a run of digits opens, and only there a match starts."""
+    done = 0
+    for at in digits:
+        if at >= done and (m := _IP.match(text, at)):
+            done = m.end()
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
+                yield Span("ip", at, done)
+    done = 0
+    for at in digits:
+        if at >= done and (m := _CARD.match(text, at)):
+            done = m.end()
+            code = m.group().replace(" ", "").replace("-", "")
+            if 13 <= len(code) <= 19 and luhn(code):
+                yield Span("card", at, done)
+
+
+def phones(text: str, anchors: list[int]) -> Iterator[Span]:
+    done = 0
+    for at in anchors:
+        if at >= done and (m := _PHONE.match(text, at)):
+            done = m.end()
             if 9 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
-                yield Span("phone", *m.span())
+                yield Span("phone", at, done)
 
 
 def addresses(text: str, anchors: list[int]) -> Iterator[Span]:
@@ -92,11 +126,12 @@ def addresses(text: str, anchors: list[int]) -> Iterator[Span]:
             yield Span("address", start, m.end())
 
 
-def accounts(text: str, cues: list[int]) -> Iterator[Span]:
-    """Bank and identity numbers right behind a cue: an IBAN with a valid check sum, else 6 to 18 digits."""
+def accounts(text: str, cues: list[tuple[int, int]]) -> Iterator[Span]:
+    """Bank and identity numbers right behind a cue, a word of its own: an IBAN with a valid check sum, else 6 to 18 digits,
+    else a code of capitals and digits."""
     done = 0
-    for end in cues:
-        if end < done or (end < len(text) and text[end].isalpha()):
+    for start, end in cues:
+        if end < done or end < len(text) and (text[end].isalnum() or text[end] == "_") or start > 0 and (text[start - 1].isalnum() or text[start - 1] == "_"):
             continue
         at = _AFTER_CUE.match(text, end).end()
         if m := _IBAN.match(text, at):
@@ -109,19 +144,50 @@ def accounts(text: str, cues: list[int]) -> Iterator[Span]:
                     break
             if done > at:
                 continue
-        if m := _NUMBER.match(text, at):
-            done = m.end()
+            if text[at + 4 : at + 5] == " ":  # an IBAN that fails its check
+                continue
+        if at > end and (both := [m for m in (_NUMBER.match(text, at), _CODE.match(text, at)) if m]):
+            done = max(m.end() for m in both)
             yield Span("account", at, done)
 
 
+def postals(text: str, ends: list[tuple[int, int]], fronts: list[tuple[int, int]]) -> Iterator[Span]:
+    """Streets with a house number, and the place behind them; anchors are the places of words for streets."""
+    done = 0
+    for start, end in ends:
+        if start < done or end < len(text) and text[end].isalnum():
+            continue
+        low = max(done, start - _REACH)
+        m = _BEFORE_STREET.search(text[low:start]) if start > low else None
+        left = low + m.start() if m else start
+        # a name before the anchor, or one that it ends, as in German
+        if not (text[left:start].strip() and (text[start].isupper() or text[start - 1].isalpha() or text[start - 1] == " " and text[start].islower() and m.group(1))):
+            continue
+        house = m.group(1)
+        stop = end
+        if not house:
+            if not (n := _AFTER_STREET.match(text, end)):
+                continue
+            stop = n.end()
+            left += len(text[left:start]) - len(text[left:start].lstrip())
+        done = _PLACE.match(text, stop).end()
+        yield Span("postal", left, done)
+    done = 0
+    for start, end in fronts:
+        if start < done or start == 0 or text[start - 1].isalnum():
+            continue
+        if (m := _AFTER_FRONT.match(text, end)) and (h := _BEFORE_FRONT.search(text[max(0, start - 8) : start])):
+            done = _PLACE.match(text, m.end()).end()
+            yield Span("postal", max(0, start - 8) + h.start(), done)
+
+
 def automaton():
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    out.add_word("@", ("@", 1))
-    out.add_word("://", ("://", 3))
-    for cue in CUES:
-        out.add_word(cue, ("cue", len(cue)))
+    for kind, words in (("@", "@"), ("+", "+"), ("digit", "0123456789"), ("://", ["://"]), ("cue", CUES), ("street", STREETS), ("front", FRONT)):
+        for word in words:
+            out.add_word(word, (kind, len(word)))
     out.make_automaton()
     return out
 
@@ -136,20 +202,45 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 def find(text: str, ac) -> list[Span]:
     """All spans of a text, by kind as listed and then by start; offsets in code points, ends exclusive."""
-    found: dict[str, list[int]] = {"@": [], "://": [], "cue": []}
-    for end, (what, size) in ac.iter(lower_ascii(text) if not text.islower() else text):
-        found[what].append(end + 1 if what == "cue" else end + 1 - size)
+    found: dict[str, list[tuple[int, int]]] = {k: [] for k in ("@", "+", "digit", "://", "cue", "street", "front")}
+    last = -2
+    for end, (what, size) in ac.iter(lower_ascii(text)):
+        if what == "digit":
+            if end != last + 1:
+                found[what].append((end, end + 1))
+            last = end
+        else:
+            found[what].append((end + 1 - size, end + 1))
+    at = {k: [start for start, _ in v] for k, v in found.items()}
     out: list[Span] = []
-    if found["@"]:
-        out += emails(text, found["@"])
-    if _DIGIT.search(text):
-        out += numbers(text)
-    if found["://"]:
-        out += addresses(text, found["://"])
-    if found["cue"]:
-        held = {s.start for s in out}
-        out += [s for s in accounts(text, found["cue"]) if s.start not in held]
-    return out
+    if at["@"]:
+        out += emails(text, at["@"])
+    if at["digit"]:
+        out += numbers(text, at["digit"])
+        out += phones(text, at["+"])
+    more: list[Span] = []
+    if at["://"]:
+        more += addresses(text, at["://"])
+    if at["digit"]:
+        more += accounts(text, found["cue"])
+        more += postals(text, found["street"], found["front"])
+    if not more:
+        return out
+    # of the spans added, those go that start inside another one, where neither is an address that holds the other
+    held = sorted((s for s in out if s.kind != "email"), key=lambda s: s.start)
+    starts, ends = [s.start for s in held], list(itertools.accumulate((s.end for s in held), max))
+    kept: list[Span] = []
+    for s in more:
+        k = bisect.bisect_right(starts, s.start)
+        if s.kind == "address" or not (k and ends[k - 1] > s.start):
+            kept.append(s)
+    reach: list[Span] = []
+    done = 0
+    for s in sorted(kept, key=lambda s: (s.start, KINDS.index(s.kind))):
+        if s.start >= done:
+            reach.append(s)
+            done = s.end
+    return out + sorted(reach, key=lambda s: (KINDS.index(s.kind), s.start))
 
 
 def spans(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
