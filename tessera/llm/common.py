@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,19 +47,31 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = shared_path(df.sparkSession, what)
     _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Deletes the tables staged so far. To be called when the results that read them have been written."""
+def drop_staged(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> int:
+    """Deletes the tables staged so far, from number ``since`` on. To be called when the results that read them have been
+    written."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     gone = 0
-    while _STAGED:
-        at = path(_STAGED.pop())
+    for name in [x for x in _STAGED[since:] if x not in keep]:
+        _STAGED.remove(name)
+        at = path(name)
         gone += at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     return gone
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables staged inside go at its end, but those of the frames that were handed to what it gives."""
+    since, kept = len(_STAGED), set()
+    yield lambda *frames: kept.update(x for f in frames for x in ([f.staged_at] if hasattr(f, "staged_at") else []))
+    drop_staged(spark, since, kept)
+
+
 _CACHES: dict[str, dict] = {}
 
 
@@ -103,6 +116,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    spark = edges.sparkSession
     e = staged(e, "edges")
 
     def mark(x: DataFrame) -> tuple:
@@ -119,7 +133,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         small = large.join(least, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.withColumnRenamed("m", "v")).distinct()
-        e = staged(small, "edges")
+        old, e = e.staged_at, staged(small, "edges")
+        drop_staged(spark, keep=[x for x in _STAGED if x != old])
         now = mark(e)
         if now == seen:
             break
@@ -128,4 +143,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if seen[0]:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out.staged_at = e.staged_at
+    return out

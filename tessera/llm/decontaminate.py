@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import Literal
 
 import numpy as np
 import pyarrow as pa
@@ -210,10 +211,21 @@ def _searcher(items):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id holds a test item."""
-    gone = leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, null_ids: Literal["keep", "judge"] = "keep") -> DataFrame:
+    """``docs`` without the rows whose id holds a test item: an id goes with all of its rows.
+
+    Rows with a null id all stay, or, with ``null_ids="judge"``, each goes or stays by its own text. Null and empty texts
+    hold nothing; equal rows fare alike; very long texts are searched whole; an empty benchmark leaves all rows, an empty
+    table gives none. Other columns stay, whatever their names but ``id_`` and ``hash_``.
+    """
+    gone = leaks(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("id_")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("id_"), "left_anti").select(docs.columns)
+    if null_ids == "keep":
+        return left
+    nameless = docs.where("doc_id is null").withColumn("hash_", F.xxhash64(F.col("text").cast("string")))
+    gone = leaks(nameless, benchmark, ids="hash_").select(F.col("doc_id").alias("id_")).distinct()
+    nameless = nameless.join(gone, F.col("hash_") == F.col("id_"), "left_anti").select(docs.columns)
+    return left.where("doc_id is not null").unionByName(nameless)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ more links than join its components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Literal
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, slices, staged, table, worker_cache
+from .common import components, scratch, slices, staged, table, worker_cache
 
 WORDS = 5
 K = 32
@@ -147,7 +148,8 @@ def lists(classes: DataFrame) -> DataFrame:
     typical: how frequent a class's values are in all; in a group of edited copies the original has the most.
     """
     postings = classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    often = postings.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # a table of its own, else the join shares the aggregate's partitions and no hot value can be split
+    often = staged(postings.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "often")
     shared = postings.join(often, "value")
     own = shared.groupBy("rep", "n", "size").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("values"), F.sum("f").alias("typical"))
     # values that no other class retains are the rarest; they take places in the prefix, but propose no pair
@@ -215,7 +217,7 @@ def able(members: DataFrame, sets: DataFrame) -> DataFrame:
     rows = sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("set").alias("s"))
     common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("s")
     held = rows.join(common, "s").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
-    least = members.groupBy("value").agg(F.min("n").alias("least"))
+    least = staged(members.groupBy("value").agg(F.min("n").alias("least")), "least")
     rows = members.join(least, "value").join(held, "rep").where("7 * shared >= 3 * (n + greatest(least, cast(ceil(0.75 * n) as bigint)))")
     return rows.drop("least")
 
@@ -293,7 +295,7 @@ def block_links(members: DataFrame) -> DataFrame:
 def apart(members: DataFrame) -> DataFrame:
     """The members of lists that hold more than one component."""
     mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("value")
-    return members.join(mixed, "value", "left_semi")
+    return members.join(staged(mixed, "mixed"), "value", "left_semi")
 
 
 def prepared(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,27 +307,29 @@ def prepared(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFr
 def found_groups(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, hash, n, component, least), one per row of ``docs`` (doc_id, text, hash): a key of the group that the row's
     set belongs to, and the least id in it; both null for empty sets, the least id where a group has none."""
-    own = staged(sketches(docs), "sketches")
-    # a class has a key of its own, so neither rows that share an id nor rows without one are mistaken for others
-    classes = own.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))).alias("x"), F.min("hash").alias("of"), F.first("sketch").alias("sketch"))
-    classes = classes.select("k1", "k2", "n", F.monotonically_increasing_id().alias("rep"), F.col("x.doc_id").alias("least"), F.coalesce("x.hash", "of").alias("of"), "sketch")
-    classes = staged(classes, "classes")
-    entered = staged(lists(classes), "lists")
-    hub = entered.groupBy("value").agg(F.max(F.struct("typical", F.negative("rep").alias("r"))).alias("h"), F.count(F.lit(1)).alias("size"))
-    hub = hub.where("size > 1").select("value", F.negative("h.r").alias("hub"))
-    entered = staged(entered.join(hub, "value"), "lists")
-    sets = full_sets(docs, entered.select("rep").distinct().join(classes.select("rep", "least", "of", "k1", "k2"), "rep"))
-    star = entered.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = staged(confirmed(plausible(star, classes), sets), "links")
-    found = components(links)
-    # lists that the first round has not joined to one component, without the members that can have no further link
-    label = F.coalesce("component", "rep").alias("component")
-    members = entered.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", label)
-    rest = staged(apart(able(staged(apart(members), "members"), sets)), "members")
-    if not rest.isEmpty():
-        rest = rest.join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
-        links = links.unionByName(staged(block_links(rest), "links"))
+    with scratch(docs.sparkSession) as keep:
+        own = staged(sketches(docs), "sketches")
+        # a class has a key of its own, so neither rows that share an id nor rows without one are mistaken for others
+        classes = own.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))).alias("x"), F.min("hash").alias("of"), F.first("sketch").alias("sketch"))
+        classes = classes.select("k1", "k2", "n", F.monotonically_increasing_id().alias("rep"), F.col("x.doc_id").alias("least"), F.coalesce("x.hash", "of").alias("of"), "sketch")
+        classes = staged(classes, "classes")
+        entered = staged(lists(classes), "lists")
+        hub = entered.groupBy("value").agg(F.max(F.struct("typical", F.negative("rep").alias("r"))).alias("h"), F.count(F.lit(1)).alias("size"))
+        hub = staged(hub.where("size > 1").select("value", F.negative("h.r").alias("hub")), "hubs")
+        entered = staged(entered.join(hub, "value"), "lists")
+        sets = full_sets(docs, entered.select("rep").distinct().join(classes.select("rep", "least", "of", "k1", "k2"), "rep"))
+        star = entered.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        links = staged(confirmed(plausible(star, classes), sets), "links")
         found = components(links)
+        # lists that the first round has not joined to one component, without the members that can have no further link
+        label = F.coalesce("component", "rep").alias("component")
+        members = entered.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", label)
+        rest = staged(apart(able(staged(apart(members), "members"), sets)), "members")
+        if not rest.isEmpty():
+            rest = rest.join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+            links = links.unionByName(staged(block_links(rest), "links"))
+            found = components(links)
+        keep(own, classes, found)
     named = classes.select("k1", "k2", "n", "rep", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", "least", label)
     named = named.drop("least").join(named.groupBy("component").agg(F.min("least").alias("least")), "component")
     return own.select("doc_id", "hash", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left").drop("k1", "k2")
@@ -345,14 +349,22 @@ def groups(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFram
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, null_ids: Literal["keep", "judge"] = "keep") -> DataFrame:
     """``docs`` with one row of each group, one of those with its least id; rows that repeat an id go or stay by their own
-    text's group. Rows with a null id and rows without words all stay."""
-    rows = found_groups(prepared(docs)).where("n > 0 and doc_id is not null")
+    text's group.
+
+    Rows with a null id all stay, or, with ``null_ids="judge"``, are judged like others and come behind all ids, so one of
+    them stays only where its group has no id. Rows without words (null and empty texts) all stay. Of equal rows one stays;
+    very long texts are compared whole; an empty table gives no rows. Other columns stay, whatever their names but ``id_``,
+    ``hash_``, ``stays_`` and ``copies``.
+    """
+    rows = found_groups(prepared(docs)).where("n > 0" if null_ids == "judge" else "n > 0 and doc_id is not null")
     rows = staged(rows.groupBy("doc_id", "hash").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("copies")), "groups")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
-    rows = staged(rows.join(first, "component").select(F.col("doc_id").alias("id_"), F.col("hash").alias("hash_"), (F.struct("doc_id", "hash") == F.col("first")).alias("stays_"), "copies"), "verdicts")
-    same = (F.col("doc_id").cast("bigint") == F.col("id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hash_"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    rows = staged(rows.join(first, "component").select(F.col("doc_id").alias("id_"), F.col("hash").alias("hash_"), stays.alias("stays_"), "copies"), "verdicts")
+    # text hashes tell rows of one id, or of none, apart, so the join is dealt by them
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hash_"))
     # only first rows that have copies are told apart by a shuffle
     several = rows.where("stays_ and copies > 1").select("id_", "hash_")
     left = docs.join(rows.where("not stays_ or copies > 1"), same, "left_anti")

@@ -13,7 +13,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, staged, table
+from .common import components, scratch, staged, table
 
 Rule = tuple[str, str, str]
 #: (verdict, host, path prefix)
@@ -78,9 +78,16 @@ def matched(pages: DataFrame, rules: list[Rule], url: str) -> DataFrame:
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (a, b) between the keys of pages and of what they redirect to or declare as canonical."""
-    found = F.array(F.regexp_extract("html_", _REFRESH, 1), F.regexp_extract("html_", _CANONICAL, 1))
     # a cheap test keeps both patterns off pages that hold neither
     rows = pages.select(F.col(url).alias("from_"), F.col(html).alias("html_")).where(F.col("html_").rlike("(?i)canonical|refresh"))
+    with scratch(pages.sparkSession) as keep:
+        out = _links(rows)
+        keep(out)
+    return out.where("a != b")
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    found = F.array(F.regexp_extract("html_", _REFRESH, 1), F.regexp_extract("html_", _CANONICAL, 1))
     # tables in between, else filters that the optimizer moves down repeat every step of with_parts in each condition
     rows = staged(rows.select("from_", F.explode(found).alias("link_")), "links").where("link_ != ''")
     rows = with_parts(rows, "from_")
@@ -93,7 +100,7 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         .otherwise(F.concat(site, F.regexp_replace("path_", "[^/]*$", ""), link))
     )
     rows = with_parts(rows.select("key_", to.alias("to_")), "to_", "to_")
-    return staged(rows.select(F.col("key_").alias("a"), F.col("to_key_").alias("b")), "links").where("a != b")
+    return staged(rows.select(F.col("key_").alias("a"), F.col("to_key_").alias("b")), "links")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str | None = "html", redirects: DataFrame | None = None, default: str = "allow", edges: DataFrame | None = None) -> DataFrame:

@@ -102,6 +102,16 @@ def test_items_held_in_both_parts_only():
     assert [i for i, *_ in index.search(" ".join([*x[:5], "gap", *x[6:]]))] == [1]
 
 
+def test_rows_without_ids_are_judged_on_demand(spark):
+    item = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(None, f"so {item} end"), (None, f"so {item} end"), (None, "clean"), (None, None), (4, item), (4, "other"), (5, "clean")]
+    df = frame(spark, rows).withColumnRenamed("lang", "item_id")
+    got = sorted(((r.doc_id, r.text) for r in clean(df, benchmark, null_ids="judge").collect()), key=str)
+    assert got == sorted([(None, "clean"), (None, None), (5, "clean")], key=str)
+    assert clean(df, benchmark.limit(0), null_ids="judge").count() == len(rows)
+
+
 @needs_data
 def test_on_the_tables(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")

@@ -124,3 +124,19 @@ def test_on_the_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in groups(docs).collect()} == brute(rows)
+
+
+def test_rows_without_ids_are_judged_on_demand(spark):
+    """Against a brute-force version: of each group the row of the least (null last, id, hash) stays once."""
+    rnd = random.Random(11)
+    x, y, z, u = (" ".join(rnd.choices("abcdefghijklmnop", k=40)) for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(5, x), (5, x), (5, y), (9, near(y)), (None, x), (None, x), (None, z), (None, near(z)), (None, z), (7, u), (None, near(u)), (None, None), (None, ""), (3, None)]
+    df = frame(spark, rows).withColumnRenamed("lang", "component")
+    left = sorted(((r.doc_id, r.text) for r in deduplicated(df, null_ids="judge").collect()), key=str)
+    groups_ = [[(5, x), (None, x)], [(5, y), (9, near(y))], [(None, z), (None, near(z))], [(7, u), (None, near(u))]]
+    named = [g for g in groups_ if g[0][0] is not None]
+    assert [r for r in left if r[0] is not None] == sorted([g[0] for g in named] + [(3, None)], key=str)
+    nulls = [t for i, t in left if i is None]
+    assert sum(t in (z, near(z)) for t in nulls) == 1 and not {x, near(u)} & set(nulls) and sorted(map(str, nulls))[:2] == ["", "None"] and len(nulls) == 3
+    assert deduplicated(df.limit(0), null_ids="judge").count() == 0
