@@ -1,4 +1,8 @@
-"""A training corpus in five stages, each over all that its predecessor kept."""
+"""A training corpus in five stages, each over all that its predecessor kept.
+
+All stages take null ids, null, empty and very long texts, equal rows, empty tables and further columns; what becomes of them
+is told at each. The first four return the columns that they are given.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,29 @@ from tessera.llm.common import staged, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained from labels, rejects go."""
+    """Documents that the classifier, trained from labels, rejects go; null and empty texts are scored like others, and equal
+    texts fare alike."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return neardup.deduplicated(docs)
+    """One document of each group of near-duplicates stays, that of the least id; rows without ids come behind all others.
+    Rows without words stay."""
+    return neardup.deduplicated(docs, null_ids="judge")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item go, an id with all of its rows, rows without ids each by its own text."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), null_ids="judge")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; n_chars follows."""
+    """Secrets are masked in the texts; n_chars follows. All rows stay; null texts stay null."""
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of one window."""
+    """Pieces of documents in sequences of one window; null and empty texts are the end id alone."""
     return packing.packed(docs)
 
 
