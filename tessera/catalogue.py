@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tx
+from .errors import AffectedMismatch, ConstraintError, NoRows, ReadOnly, SchemaDrift
 from .functions import avg, count, count_gt, count_gte, count_lt, dense_rank, exists, lag, lead, max_, min_, not_exists, rank, raw, row_number, sum_
 from .model import Model
-from .operators.dml import excluded, literal, stored
+from .operators.dml import Insert, excluded, literal, stored
 from .sources.engine import Engine
-from .tables import BigOrders, ClientAccounts, Customer, Documents, Events, Labels, Lineitem, Nation, Orders, Part, PartTree, Region, Supplier
+from .tables import AutoNation, AutoRegion, BigOrders, ClientAccounts, Customer, Documents, Events, Labels, Lineitem, Nation, NationName, Orders, Part, PartTree, Region, Supplier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,11 +84,10 @@ _ORDER = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_ord
     GROUP BY n_name HAVING count(*) > 5 ORDER BY place, n_name LIMIT 10""")
 def flagship(e: Engine) -> DataFrame:
     q = e.query(Orders).join(Customer, Orders.o_custkey == Customer.c_custkey).join(Nation, Customer.c_nationkey == Nation.n_nationkey)
-    df = q.group_by(Nation.n_name).having(count_gt(5)).select(Nation.n_name, count().as_("n_orders"), sum_(Orders.o_totalprice).as_("total")).df()
-    from pyspark.sql.window import Window
-
-    df = df.withColumn("total", F.round("total", 2))
-    return df.withColumn("place", F.rank().over(Window.orderBy(F.desc("total"))).cast("bigint")).orderBy("place", "n_name").limit(10)
+    total = sum_(Orders.o_totalprice)
+    place = rank().over((), [total.desc()])
+    q = q.group_by(Nation.n_name).having(count_gt(5)).select(Nation.n_name, count().as_("n_orders"), total.as_("total"), place.as_("place"))
+    return q.order_by(place.asc(), Nation.n_name.asc()).limit(10).df().withColumn("total", F.round("total", 2))
 
 
 # sources and projection
@@ -215,6 +215,20 @@ def join_inner(e):
     return e.query(Orders).join(Customer, Orders.o_custkey == Customer.c_custkey).select(Orders.o_orderkey, Customer.c_name)
 
 
+@query("""SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS keys
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def preload_has_many_all(e):
+    return _flat(e.query(Customer).preload("orders").df(), "c_custkey", "orders", "o_orderkey")
+
+
+@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_items FROM customer
+    LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
+def preload_nested_all(e):
+    df = e.query(Customer).preload("orders.items").df()
+    items = F.aggregate("orders", F.lit(0), lambda n, o: n + F.size(o["items"]))
+    return df.select("c_custkey", F.size("orders").cast("bigint").alias("n_orders"), items.cast("bigint").alias("n_items"))
+
+
 @query("SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id AND quality = 1")
 def join_left(e):
     return e.query(Documents).left_join(Labels, (Documents.doc_id == Labels.doc_id) & (Labels.quality == 1)).select(Documents.doc_id, Labels.quality)
@@ -518,9 +532,8 @@ def raw_sql(e):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) > 50")
 def json_field(e):
-    field = Events.__meta__.fields["props"]
-    df = e.query(Events).select(Events.event_id, Events.props).df()
-    return df.select("event_id", F.from_json("props", field.json)["k"].alias("k")).where("k > 50")
+    k = Events.props.document("k")
+    return e.query(Events).where(k > 50).select(Events.event_id, k.as_("k"))
 
 
 # preloads, in flat form
@@ -538,6 +551,20 @@ def preload_has_many(e):
     return _flat(q.preload("orders").df(), "c_custkey", "orders", "o_orderkey")
 
 
+@query("""SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS keys
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def preload_has_many_all(e):
+    return _flat(e.query(Customer).preload("orders").df(), "c_custkey", "orders", "o_orderkey")
+
+
+@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_items FROM customer
+    LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
+def preload_nested_all(e):
+    df = e.query(Customer).preload("orders.items").df()
+    items = F.aggregate("orders", F.lit(0), lambda n, o: n + F.size(o["items"]))
+    return df.select("c_custkey", F.size("orders").cast("bigint").alias("n_orders"), items.cast("bigint").alias("n_items"))
+
+
 @query("SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id")
 def preload_has_one(e):
     return e.query(Documents).preload("label").df().select("doc_id", F.col("label.quality").alias("quality"))
@@ -707,3 +734,219 @@ def raw_write(e):
 @stored_query("SELECT n_nationkey, n_name || '!' AS shout FROM nation WHERE n_regionkey = 1", Nation)
 def raw_returning(e):
     return e.execute("UPDATE nation SET n_name = concat(n_name, '!') WHERE n_regionkey = 1 RETURNING n_nationkey, n_name AS shout")
+
+
+# further writes, checks and observation; small results are put into frames
+
+
+def _rows(e, rows, schema):
+    return e.spark.createDataFrame(rows, schema)
+
+
+def _refused(work, error):
+    """Whether a call raises an error."""
+    try:
+        work()
+    except error:
+        return True
+    return False
+
+
+@stored_query(f"{_SUPPLIER} UNION ALL SELECT 900001, 'refused 2', 0, 0", Supplier)
+def upsert_unique_conflict(e):
+    """Upserts by one key that would repeat another one write nothing."""
+    keys = lambda: e.insert_batch(Supplier, [{"s_suppkey": 1, "s_name": "nobody has this name", "s_nationkey": 1, "s_acctbal": 0.0}])
+    n = sum(_refused(f(keys(), [Supplier.s_name]).execute, ConstraintError) for f in (Insert.on_conflict_do_nothing, lambda i, k: i.on_conflict(k, [Supplier.s_acctbal])))
+    e.insert(Supplier(s_suppkey=900001, s_name=f"refused {n}", s_nationkey=0, s_acctbal=0.0)).execute()
+    return e.query(Supplier)
+
+
+@stored_query("SELECT s_suppkey, s_acctbal * 2 AS doubled, true AS same FROM supplier WHERE s_nationkey = 3", Supplier)
+def update_returning(e):
+    """What RETURNING gives is what is stored, however often the expression would change."""
+    got = e.execute("UPDATE supplier SET s_acctbal = s_acctbal * 2, s_name = uuid() WHERE s_nationkey = ? RETURNING s_suppkey, s_acctbal AS doubled, s_name", [3])
+    now = e.query(Supplier).select(Supplier.s_suppkey, Supplier.s_name.as_("now")).df()
+    return got.join(now, "s_suppkey").select("s_suppkey", "doubled", (F.col("s_name") == F.col("now")).alias("same"))
+
+
+@stored_query("SELECT s_suppkey, CASE WHEN s_suppkey = 7 THEN 'seven' ELSE s_name END AS s_name, CASE WHEN s_suppkey <> 7 THEN s_nationkey END AS s_nationkey, CASE WHEN s_suppkey <> 7 THEN s_acctbal END AS s_acctbal FROM supplier", Supplier)
+def update_all_fields(e):
+    e.update(Supplier(s_suppkey=7, s_name="seven")).all_fields().execute()
+    return e.query(Supplier)
+
+
+@stored_query(f"{_SUPPLIER}", Supplier)
+def expect_mismatch(e):
+    e.tx(lambda: _refused(e.update(Supplier, {"s_name": "x"}).where(Supplier.s_nationkey == 3).expect(1_000_000).execute, AffectedMismatch))
+    _refused(e.delete(Supplier).where(Supplier.s_nationkey == 3).expect(1_000_000).execute, AffectedMismatch)
+    return e.query(Supplier)
+
+
+@stored_query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'alice', 1 UNION ALL SELECT 101, 'bob', 1", Nation)
+def tx_reuse(e):
+    def inner():
+        e.insert(Nation(n_nationkey=101, n_name="bob", n_regionkey=1)).execute()
+        raise RuntimeError
+
+    def work():
+        e.insert(Nation(n_nationkey=100, n_name="alice", n_regionkey=1)).execute()
+        _refused(lambda: e.tx(inner, mode="reuse"), RuntimeError)
+
+    e.tx(work)
+    return e.query(Nation)
+
+
+@stored_query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'retried 1', 1", Nation)
+def tx_retry(e):
+    """Another commit comes between; the transaction runs again."""
+    other, calls = Engine(e.spark, e.source, e.store.root), []
+
+    def work():
+        n = len(calls)
+        e.query(Nation).count()
+        calls.append(n)
+        if not n:
+            other.delete_by_id(Nation, 100)
+            other.update(Nation(n_nationkey=1, n_regionkey=99)).execute()
+            other.update(Nation(n_nationkey=1, n_regionkey=1)).execute()
+        e.insert(Nation(n_nationkey=100, n_name=f"retried {n}", n_regionkey=1)).execute()
+
+    e.tx(work, retries=3)
+    return e.query(Nation)
+
+
+@stored_query("SELECT count(*) AS inside, 25 AS outside FROM (SELECT * FROM nation UNION ALL SELECT 100, 'x', 1)", Nation)
+def tx_ambient(e):
+    """An engine over the same store takes part in the open transaction, one of its own over the same folder does not."""
+    joined, apart, seen = Engine(e.spark, e.source, store=e.store), Engine(e.spark, e.source, e.store.root), []
+
+    def work():
+        e.insert(Nation(n_nationkey=100, n_name="x", n_regionkey=1)).execute()
+        seen.append((joined.query(Nation).count(), apart.query(Nation).count()))
+        raise RuntimeError
+
+    _refused(lambda: e.tx(work), RuntimeError)
+    return _rows(e, seen, "inside bigint, outside int")
+
+
+@stored_query("SELECT true AS written, true AS locked, true AS created", Nation)
+def tx_read_only(e):
+    new = lambda: e.insert(Nation(n_nationkey=100)).execute()
+    n = len(e.store.files(e.store.head()[1]["nation"].segments[0]))
+    out = [_refused(lambda: e.tx(f, read_only=True), ReadOnly) for f in (new, lambda: e.delete(Nation).delete_all().execute(), lambda: e.create(Region))]
+    assert n == len(e.store.files(e.store.head()[1]["nation"].segments[0]))
+    return _rows(e, [tuple(out)], "written boolean, locked boolean, created boolean")
+
+
+@stored_query("SELECT * FROM (VALUES (1, 'before_create'), (2, 'after_create'), (3, 'before_update'), (4, 'after_update'), (5, 'before_delete'), (6, 'refused')) t(n, event)", Nation)
+def hooks(e):
+    seen = []
+
+    def refuse(_):
+        raise PermissionError
+
+    for event in ("before_create", "after_create", "before_update", "after_update", "before_delete"):
+        e.on(Nation, event, lambda _, event=event: seen.append(event))
+    e.on(Nation, "before_delete", refuse)
+    e.insert(Nation(n_nationkey=100, n_name="x")).execute()
+    e.update(Nation(n_nationkey=100, n_name="y")).execute()
+    if _refused(lambda: e.delete_by_id(Nation, 100), PermissionError) and e.query(Nation).where(Nation.n_nationkey == 100).count() == 1:
+        seen.append("refused")
+    return _rows(e, list(enumerate(seen, 1)), "n int, event string")
+
+
+@stored_query("""SELECT * FROM (VALUES (1, 'select', false, 25), (2, 'insert', false, NULL), (3, 'insert', true, NULL), (4, 'update', false, 1), (5, 'raw', true, NULL),
+    (6, 'execute', true, NULL), (7, 'count', false, 1)) t(n, op, failed, n_rows)""", Nation)
+def query_log(e):
+    """Reads, writes, raw statements and set operations are told, with the errors of those that fail."""
+    seen = []
+    e.query(Nation).count()
+    e.observer.hooks.append(seen.append)
+    e.query(Nation).all()
+    e.insert(Nation(n_nationkey=100, n_name="x")).execute()
+    _refused(e.insert(Nation(n_nationkey=100, n_name="x")).execute, ConstraintError)
+    e.update(Nation(n_nationkey=100, n_name="y")).execute()
+    _refused(lambda: e.raw("SELECT nothing FROM nation"), Exception)
+    _refused(lambda: e.execute("UPDATE nation SET n_name = nothing WHERE true"), Exception)
+    e.query(Nation).union(e.query(Nation)).count()
+    told = [x for x in seen if not (x.op == "update" and x.error)]
+    return _rows(e, [(i, x.op, x.error is not None, x.rows) for i, x in enumerate(told, 1)], "n int, op string, failed boolean, n_rows int")
+
+
+@stored_query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 3 AND 9 AND n_name LIKE 'N%' AND n_name NOT IN ('it''s', 'x')", Nation)
+def rendered_sql(e):
+    """The text of a query, run as it is, gives the rows of the query."""
+    n = Nation
+    q = e.query(n).where(n.n_nationkey.between(3, 9), n.n_name.like("N%"), n.n_name.not_in(["it's", "x"])).select(n.n_nationkey, n.n_name).order_by(n.n_name.desc())
+    return e.raw(q.sql())
+
+
+@stored_query("SELECT * FROM (VALUES ('INSERT INTO `nation` (`n_nationkey`, `n_name`) VALUES (1, ''it\\''s'')', 25)) t(text, n)", Nation)
+def insert_preview(e):
+    text = e.insert(Nation(n_nationkey=1, n_name="it's")).sql()
+    return _rows(e, [(text, e.query(Nation).count())], "text string, n int")
+
+
+@stored_query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) + 1 AS k FROM events WHERE event_id < 100 UNION ALL SELECT -1, 7", Events)
+def json_write(e):
+    """Documents go in and come out as Python objects; queries read parts of them."""
+    e.insert(Events(event_id=-1, props={"k": 6})).execute()
+    rows = e.query(Events).where(Events.event_id < 100).all()
+    e.delete(Events).where(Events.event_id < 100).execute()
+    e.insert_batch(Events, [Events(event_id=r.event_id, props={"k": r.props["k"] + 1}) for r in rows]).execute()
+    return e.query(Events).where(Events.event_id < 100).select(Events.event_id, Events.props.document("k").as_("k"))
+
+
+@stored_query("""SELECT * FROM (VALUES ('n_nationkey', 'int', false, NULL, true), ('n_name', 'string', true, 'none', true), ('n_regionkey', 'int', true, NULL, false)) t(name, type, nullable, fallback, indexed)""")
+def introspection(e):
+    from .sources import schema
+
+    e.create(Nation, unique=[["n_name"]], defaults={"n_name": "none"}, indexes=[["n_name", "n_regionkey"]])
+    t = schema.load(e)["nation"]
+    first = {x[0] for x in t.indexes}
+    return _rows(e, [(c.name, c.type, c.nullable, c.default, c.name in first) for c in t.columns], "name string, type string, nullable boolean, fallback string, indexed boolean")
+
+
+@stored_query("SELECT * FROM (VALUES ('missing_column', 'extra'), ('model_extra_column', 'n_regionkey'), ('pk_mismatch', '')) t(kind, name)", Nation)
+def schema_drift(e):
+    from .sources import schema
+
+    t = schema.load(e)["nation"]
+    table = schema.TableInfo("nation", (*t.columns[:-1], schema.Column("extra", "string", True)), ("n_name",))
+    found = schema.bind({"nation": table}, Nation)
+    assert _refused(lambda: schema.must_bind({"nation": table}, Nation), SchemaDrift) and not schema.bind(schema.load(e), Nation)
+    return _rows(e, [(d.kind, d.column) for d in found], "kind string, name string")
+
+
+@stored_query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def auto_relations(e):
+    """Relations from the foreign keys of tables; rows are loaded through them."""
+    from .sources import schema
+
+    source = Engine(e.spark, e.source)
+    e.create(AutoRegion, source.read(Region).toDF("id", "name"))
+    e.create(AutoNation, source.read(Nation).toDF("id", "name", "region_id"), foreign=[("region_id", "auto_region", "id")])
+    schema.auto_relations(schema.load(e, "auto_region", "auto_nation"))
+    rows = e.query(AutoNation).preload("region").all()
+    assert sum(len(r.auto_nations) for r in e.query(AutoRegion).preload("auto_nations").all()) == len(rows)
+    return _rows(e, [(r.id, r.name, r.region.get().name) for r in rows], "n_nationkey int, n_name string, r_name string")
+
+
+@stored_query("SELECT n_nationkey AS key, n_name AS name FROM nation", Nation)
+def sinks(e):
+    """Rows as instances of another model, as JSON, and one by one."""
+    into = e.query(Nation).select(Nation.n_nationkey.as_("key"), Nation.n_name.as_("name")).all_into(NationName)
+    first = e.query(Nation).order_by(Nation.n_nationkey.asc()).one()
+    assert first.to_dict()["n_nationkey"] == 0 and _refused(e.query(Nation).where(Nation.n_nationkey == -1).one, NoRows)
+    return _rows(e, [(r.key, r.name) for r in into], "key int, name string")
+
+
+@stored_query(f"{_SUPPLIER}", Supplier)
+def compaction(e):
+    """Many small files become one; the rows stay."""
+    rows = e.read(Supplier)
+    e.delete(Supplier).delete_all().execute()
+    for k in range(3):
+        e.insert_batch(Supplier, rows.where(F.pmod("s_suppkey", F.lit(3)) == k).repartition(4)).execute()
+    assert e.compact(Supplier) > 2 and e.compact(Supplier) == 0
+    return e.query(Supplier)

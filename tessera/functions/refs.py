@@ -168,6 +168,14 @@ class ColumnRef(Comparable):
     table: str | None
     name: str
     label: str | None = None
+    #: Of a JSON field: the DDL of its document.
+    json: str | None = None
+
+    def document(self, path: str) -> Document:
+        """A part of a JSON field's document, with dots for parts of parts."""
+        if self.json is None:
+            raise ValueError(f"{self.name} is no JSON field")
+        return Document(self, path)
 
     def like(self, pattern: str) -> Predicate:
         return Compare("like", self, pattern)
@@ -220,4 +228,29 @@ class ColumnRef(Comparable):
         return Order(self, True, nulls_first)
 
     def as_(self, label: str) -> ColumnRef:
-        return ColumnRef(self.table, self.name, label)
+        return ColumnRef(self.table, self.name, label, self.json)
+
+
+@dataclass(frozen=True, eq=False)
+class Document(Comparable):
+    """A part of the document in a JSON column, typed by the field's DDL; null where the text does not hold it."""
+
+    column: ColumnRef
+    path: str
+    label: str | None = None
+
+    @property
+    def name(self) -> str:
+        return self.path.rpartition(".")[2]
+
+    def as_(self, label: str) -> Document:
+        return Document(self.column, self.path, label)
+
+    def is_null(self) -> Predicate:
+        return IsNull(self)
+
+    def asc(self, nulls_first: bool | None = None) -> Order:
+        return Order(self, False, nulls_first)
+
+    def desc(self, nulls_first: bool | None = None) -> Order:
+        return Order(self, True, nulls_first)

@@ -6,6 +6,7 @@ which fields were assigned, so "not set" and "set to None" differ: ``patch()`` h
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,8 @@ def snake(name: str) -> str:
 
 @dataclass(eq=False)
 class Field:
-    """A column. ``kind`` is a Spark DDL type; ``json`` marks a text column that holds a document of that type."""
+    """A column. ``kind`` is a Spark DDL type; ``json`` marks a text column that holds a document of that type:
+    instances have it as Python objects, writes put it into text, and ``document`` reads parts of it in queries."""
 
     kind: str
     pk: bool = False
@@ -42,7 +44,7 @@ class Field:
 
     def __get__(self, row: Any, owner: type) -> Any:
         if row is None:
-            return ColumnRef(owner.__meta__.table, self.name)
+            return ColumnRef(owner.__meta__.table, self.name, json=self.json)
         return row.__dict__.get("_values", {}).get(self.name)
 
     def __set__(self, row: Any, value: Any) -> None:
@@ -53,6 +55,10 @@ class Field:
     def type(self) -> T.DataType:
         return T.DataType.fromDDL(self.kind)
 
+    def parsed(self, value: Any) -> Any:
+        """A stored value as instances have it: the document of a JSON field, which must be one."""
+        return json.loads(value) if self.json and isinstance(value, str) else value
+
 
 def soft_delete() -> Field:
     """The column ``deleted_at``: rows with a time in it are hidden from queries."""
@@ -256,7 +262,7 @@ class Model:
     def from_row(cls, row: Any) -> Any:
         """An instance from a Row, by column name; columns that the model does not have are dropped, nothing is assigned."""
         out, have = cls(), set(row.__fields__)
-        out._values.update({c: row[c] for c in cls.__meta__.columns if c in have})
+        out._values.update({f.name: f.parsed(row[f.name]) for f in cls.__meta__.fields.values() if f.name in have})
         for k, r in cls.__meta__.relations.items():
             if k in have:
                 target = r.model()
@@ -282,5 +288,5 @@ class Aliased:
 
     def __getattr__(self, attribute: str) -> ColumnRef:
         if attribute in (fields := self.model.__meta__.fields):
-            return ColumnRef(self.name, fields[attribute].name)
+            return ColumnRef(self.name, fields[attribute].name, json=fields[attribute].json)
         raise AttributeError(attribute)

@@ -61,8 +61,14 @@ class Compound:
     def df(self) -> DataFrame:
         return self.lowered()
 
+    def sql(self, redact: Any = None) -> str:
+        """The whole as SQL text that can be pasted."""
+        from ..render import query_sql
+
+        return query_sql(self, redact)
+
     def all(self) -> list:
-        return [self.arms[0].model.from_row(r) for r in self.df().collect()]
+        return [self.arms[0].model.from_row(r) for r in self._run("select", lambda: self.df().collect(), len)]
 
     def one(self) -> Any:
         if not (rows := self.limit(1).all()):
@@ -70,4 +76,9 @@ class Compound:
         return rows[0]
 
     def count(self) -> int:
-        return replace(self, orders=()).df().count()
+        return self._run("count", lambda: replace(self, orders=()).df().count(), lambda n: 1)
+
+    def _run(self, op: str, work: Any, rows: Any) -> Any:
+        first = self.arms[0]
+        o, name = first.engine.observer, first.model.__meta__.table
+        return first.engine.watched(op, name, f"{self.kind} of {len(self.arms)} queries, first on {name}", o.query_args(self), work, rows, lambda: self.sql(o.redacted))

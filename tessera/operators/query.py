@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NoRows
-from ..functions.items import Item
 from ..functions.refs import And, ColumnRef, Order, Predicate
 from ..model import Aliased, Model
-from ..plans.lower import Scope, lower
+from ..plans.lower import Scope, label_of, lower
 from . import preload as preloading
 
 KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
@@ -138,17 +137,24 @@ class Query:
         """The query as one lazy DataFrame, preloads included."""
         if self.locked:
             self.engine.lock(self.model, self.locked)
-        out = self.lowered()
-        if self.paths:
-            if self.items or self.groups:
-                raise ValueError("preload needs whole rows of the model")
-            out = preloading.apply(self, out)
-        return out
+        if not self.paths:
+            return self.lowered()
+        if self.items or self.groups:
+            raise ValueError("preload needs whole rows of the model")
+        # rows under a limit are looked up more than once, so their order must leave no choice
+        keys = [ColumnRef(self.name, k).asc() for k in self.model.__meta__.pk] if self.most > 0 or self.skip > 0 else []
+        return preloading.apply(self, replace(self, orders=(*self.orders, *keys)).lowered())
 
     def explain(self, mode: str = "formatted") -> None:
         self.df().explain(mode)
 
-    def to_sql(self) -> str:
+    def sql(self, redact: Any = None) -> str:
+        """The query, without its preloads, as SQL text that can be pasted. ``redact`` tells columns whose values are masked."""
+        from ..render import query_sql
+
+        return query_sql(self, redact)
+
+    def plan(self) -> str:
         """The optimised plan as text, for logs."""
         return self.df()._jdf.queryExecution().optimizedPlan().toString()
 
@@ -214,5 +220,5 @@ class Query:
 
 def describe(q: Query) -> str:
     """A short text of a query for logs; values are told apart in ``observe``."""
-    items = ", ".join(x.label or (x.name if isinstance(x, ColumnRef) else x.function) for x in q.items if isinstance(x, (ColumnRef, Item))) or "*"
+    items = ", ".join(label_of(x) for x in q.items) or "*"
     return f"select {items} from {q.model.__meta__.table}" + "".join(f" {j.kind} join {j.name}" for j in q.joins)

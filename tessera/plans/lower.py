@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.items import AGGREGATES, Item
-from ..functions.refs import And, Between, ColumnRef, Compare, Exists, In, InQuery, IsNull, Not, Or, Order, Predicate, Raw, SqlText
+from ..functions.refs import And, Between, ColumnRef, Compare, Document, Exists, In, InQuery, IsNull, Not, Or, Order, Predicate, Raw, SqlText
 
 _COMPARE = {
     "=": operator.eq, "<>": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le,
@@ -61,6 +61,8 @@ class Scope:
             return self.column(x)
         if isinstance(x, Item):
             return self.item(x)
+        if isinstance(x, Document):
+            return functools.reduce(lambda c, part: c[part], x.path.split("."), F.from_json(self.column(x.column), x.column.json))
         if isinstance(x, Raw):
             return F.col(quoted(self.grouped[x.sql])) if x.sql in self.grouped else F.expr(x.sql)
         return F.lit(x)
@@ -155,7 +157,7 @@ def label_of(x: Any) -> str:
     """The name of a select item in the result."""
     if x.label:
         return x.label
-    return x.name if isinstance(x, ColumnRef) else x.function + (f"_{x.column.name}" if x.column is not None else "")
+    return x.name if isinstance(x, (ColumnRef, Document)) else x.function + (f"_{x.column.name}" if x.column is not None else "")
 
 
 def lower(q: Any, outer: Scope | None = None) -> DataFrame:
@@ -236,4 +238,6 @@ def sort_key(x: Any, main: str) -> Any:
         if x.window is not None:
             window = tuple(sort_key(p, main) for p in x.window[0]), tuple((sort_key(o.key, main), o.descending) for o in x.window[1])
         return (*item_key(x, main), window)
+    if isinstance(x, Document):
+        return (x.column.table or main, x.column.name, x.path)
     return x

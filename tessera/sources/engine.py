@@ -4,29 +4,36 @@ from __future__ import annotations
 
 import json
 import logging
+import re
+import time
 from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import tx
 from ..errors import ReadOnly
 from ..hooks import Hooks
-from ..model import Aliased, Model, register
+from ..model import Aliased, Model, models, register
 from ..observe import Observer, QueryInfo
 from ..operators.dml import Delete, Insert, Update
 from ..operators.query import Query, describe
 from .store import Store, Version
 
+#: Names of temporary views that engines have made.
+_VIEWS: set[str] = set()
+
 
 class Engine:
     """``source``: a folder with one ``<table>.parquet`` for each table, to read. ``warehouse``: a folder of versioned
     tables, to read and write; a table there hides one of the same name in ``source``."""
 
-    def __init__(self, spark: SparkSession, source: str | None = None, warehouse: str | None = None, *, mode: tx.Mode = "savepoint", isolation: tx.Isolation = "snapshot", read_only: bool = False, retries: int = 0, logger: logging.Logger | None = None, slow: float | None = None) -> None:
+    def __init__(self, spark: SparkSession, source: str | None = None, warehouse: str | None = None, *, mode: tx.Mode = "savepoint", isolation: tx.Isolation = "snapshot", read_only: bool = False, retries: int = 0, logger: logging.Logger | None = None, slow: float | None = None, store: Store | None = None) -> None:
+        """``store`` in place of ``warehouse``: that of another engine, whose open transactions this one then takes part in."""
         self.spark, self.source = spark, source
-        self.store = Store(spark, warehouse) if warehouse else None
+        self.store = store if store is not None else Store(spark, warehouse) if warehouse else None
         self.options = tx.Options(mode, isolation, read_only, retries)
         self.hooks, self.observer = Hooks(), Observer()
         if logger is not None:
@@ -59,37 +66,52 @@ class Engine:
 
         Tables of registered models can be named as they are.
         """
-        df = self.spark.sql(sql, args=args)
-        return df if model is None else [model.from_row(r) for r in df.collect()]
+
+        def work() -> Any:
+            self._named(sql)
+            df = self.spark.sql(sql, args=args)
+            return df if model is None else [model.from_row(r) for r in df.collect()]
+
+        return self.watched("raw", "", sql, self.observer.raw_args(sql, args), work, lambda out: None if model is None else len(out))
 
     def views(self, *registered: type[Model]) -> None:
         """Makes tables known to SQL under their names."""
         for m in registered:
             self.read(m).createOrReplaceTempView(m.__meta__.table)
+            _VIEWS.add(m.__meta__.table)
+
+    def _named(self, sql: str) -> None:
+        """Makes the tables of registered models that a statement names known to SQL, as this engine sees them; names that
+        the session knows as something else stay as they are."""
+        words = set(re.findall(r"\w+", sql))
+        for m in models():
+            table = m.__meta__.table
+            if table in words and (table in _VIEWS or not self.spark.catalog.tableExists(table)):
+                try:
+                    self.views(m)
+                except (LookupError, AnalysisException):
+                    continue  # no such table here: the statement says so itself if it needs one
 
     def with_ctes(self, ctes: tuple) -> dict[type[Model], DataFrame]:
-        """The models that scan common table expressions, each with its rows."""
-        from ..model import models
+        """The models that scan common table expressions, each with its rows. Each expression has arguments of its own."""
+        from ..operators.statements import bound
 
         recursive = "RECURSIVE " if any(c[3] for c in ctes) else ""
-        parts = ", ".join(f"`{name}`{'(' + ', '.join(columns) + ')' if columns else ''} AS ({sql})" for name, sql, _, _, columns in ctes)
-        args = {k: v for c in ctes for k, v in (c[2] or {}).items()}
-        out = {}
-        for name, *_ in ctes:
-            for m in models():
-                if m.__meta__.table == name:
-                    out[m] = self.spark.sql(f"WITH {recursive}{parts} SELECT * FROM `{name}`", args=args or None)
-        return out
+        parts = ", ".join(f"`{name}`{'(' + ', '.join(columns) + ')' if columns else ''} AS ({bound(sql, args)})" for name, sql, args, _, columns in ctes)
+        names = {name for name, *_ in ctes}
+        self._named(" ".join(x for _, sql, *_ in ctes for x in re.findall(r"\w+", sql) if x not in names))
+        return {m: self.spark.sql(f"WITH {recursive}{parts} SELECT * FROM `{m.__meta__.table}`") for m in models() if m.__meta__.table in names}
 
     # writing
 
-    def create(self, model: type[Model], rows: DataFrame | None = None, unique: list[list[str]] | None = None, foreign: list[tuple[str, str, str]] | None = None) -> None:
-        """A versioned table for a model, with the rows given; keys are taken from the model."""
+    def create(self, model: type[Model], rows: DataFrame | None = None, unique: list[list[str]] | None = None, foreign: list[tuple[str, str, str]] | None = None, defaults: dict[str, Any] | None = None, indexes: list[list[str]] | None = None) -> None:
+        """A versioned table for a model, with the rows given; keys are taken from the model. ``defaults`` are values for
+        columns that a single inserted row leaves out; ``indexes`` are kept for introspection only."""
         meta = model.__meta__
 
         def work() -> None:
             v = Version(json.dumps(meta.schema.jsonValue()), (), tuple(meta.pk), tuple(map(tuple, unique or [])), tuple(map(tuple, foreign or [])))
-            v = replace(v, schema=json.dumps(_loose(meta.schema).jsonValue()))
+            v = replace(v, schema=json.dumps(_loose(meta.schema).jsonValue()), defaults=dict(defaults or {}), indexes=tuple(map(tuple, indexes or [])))
             if rows is not None:
                 from pyspark.sql import functions as F
 
@@ -117,8 +139,23 @@ class Engine:
         """Runs a write in the open transaction, else in one of its own."""
         if self.store is None:
             raise ReadOnly("the engine has no warehouse")
+        frame = tx.current(self.store)
+        if (frame.options if frame else self.options).read_only:
+            raise ReadOnly("the transaction is read-only")
         return work() if tx.current(self.store) else tx.run(self.store, work, self.options)
 
+    def compact(self, model: type[Model], size: int = 128 << 20) -> int:
+        """Puts files below ``size`` bytes together into files of about that size; tells how many files there are less."""
+
+        def work() -> int:
+            v = self.version(model)
+            count = lambda x: sum(len(x.live.get(s) or self.store.files(s)) for s in x.segments)
+            new = self.store.compacted(v, model.__meta__.table, size)
+            self.stage(model, new)
+            return count(v) - count(new)
+
+        return self.write(work)
+
     def insert(self, row: Any) -> Insert:
         return Insert(self, type(row), row)
 
@@ -154,8 +191,14 @@ class Engine:
         them. Other statements are Spark's."""
         from ..operators import statements
 
-        out = statements.run(self, sql, args)
-        return self.spark.sql(sql, args=args) if out is None else out
+        def work() -> Any:
+            out = statements.run(self, sql, args)
+            if out is None:
+                self._named(sql)
+                return self.spark.sql(sql, args=args)
+            return out
+
+        return self.watched("execute", "", sql, self.observer.raw_args(sql, args), work, lambda out: out if isinstance(out, int) else None)
 
     # transactions
 
@@ -175,10 +218,22 @@ class Engine:
         return self.hooks.on(model, event, call)
 
     def observe(self, op: str, q: Query, seconds: float, rows: int | None, error: Exception | None) -> None:
-        self.observer.tell(QueryInfo(op, q.model.__meta__.table, describe(q), self.observer.args(q.condition_of()), seconds, rows, error))
-
-    def told(self, op: str, model: type[Model], args: list, seconds: float, rows: int | None) -> None:
-        self.observer.tell(QueryInfo(op, model.__meta__.table, f"{op} {model.__meta__.table}", args, seconds, rows, None))
+        self.observer.tell(QueryInfo(op, q.model.__meta__.table, describe(q), self.observer.query_args(q), seconds, rows, error, lambda: q.sql(redact=self.observer.redacted)))
+
+    def told(self, op: str, model: type[Model], sql: Callable[[], str], args: list, work: Callable[[], Any], rows: Callable[[Any], int | None]) -> Any:
+        """Calls a write and tells of it, and of its error if it fails."""
+        return self.watched(op, model.__meta__.table, f"{op} {model.__meta__.table}", args, work, rows, sql)
+
+    def watched(self, op: str, table: str, text: str, args: list, work: Callable[[], Any], rows: Callable[[Any], int | None], sql: Callable[[], str] | None = None) -> Any:
+        """Calls ``work`` and tells of it, and of its error if it fails."""
+        began = time.perf_counter()
+        try:
+            out = work()
+        except Exception as e:
+            self.observer.tell(QueryInfo(op, table, text, args, time.perf_counter() - began, None, e, sql or (lambda: text)))
+            raise
+        self.observer.tell(QueryInfo(op, table, text, args, time.perf_counter() - began, rows(out), None, sql or (lambda: text)))
+        return out
 
 
 def _loose(schema: Any) -> Any:

@@ -14,6 +14,7 @@ class Column:
     name: str
     type: str
     nullable: bool
+    default: object = None
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,8 @@ class TableInfo:
     unique: tuple[tuple[str, ...], ...] = ()
     #: (column, other table, its column)
     foreign: tuple[tuple[str, str, str], ...] = ()
+    #: Columns of each index: the keys, and the plain ones told to ``create``.
+    indexes: tuple[tuple[str, ...], ...] = ()
 
     def column(self, name: str) -> Column | None:
         return next((c for c in self.columns if c.name == name), None)
@@ -48,8 +51,8 @@ def load(engine, *tables: str) -> Catalog:
     out: Catalog = {}
     if engine.store is not None:
         for name, v in engine.store.head()[1].items():
-            fields = tuple(Column(f.name, f.dataType.simpleString(), f.nullable and f.name not in v.pk) for f in v.struct)
-            out[name] = TableInfo(name, fields, v.pk, v.unique, v.foreign)
+            fields = tuple(Column(f.name, f.dataType.simpleString(), f.nullable and f.name not in v.pk, v.defaults.get(f.name)) for f in v.struct)
+            out[name] = TableInfo(name, fields, v.pk, v.unique, v.foreign, tuple(x for x in (v.pk, *v.unique, *v.indexes) if x))
     if engine.source is not None:
         for name in tables or [m.__meta__.table for m in models()]:
             if name not in out:
@@ -85,6 +88,9 @@ def must_bind(catalog: Catalog, *bound: type[Model]) -> None:
         raise SchemaDrift("\n".join(map(str, diffs)))
 
 
+# How relations are named after tables and columns.
+
+
 def plural(name: str) -> str:
     """``Category`` to ``Categories``, ``Box`` to ``Boxes``, ``Post`` to ``Posts``."""
     if name.endswith("y") and name[-2:-1] not in "aeiou":

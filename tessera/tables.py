@@ -114,3 +114,19 @@ class BigOrders(Model, table="big_orders"):
     o_orderkey = Field("bigint", pk=True)
     o_custkey = Field("bigint")
     o_totalprice = Field("double")
+
+
+class NationName(Model, table="nation_name"):
+    key = Field("int", pk=True)
+    name = Field("string")
+
+
+class AutoRegion(Model, table="auto_region"):
+    id = Field("int", pk=True)
+    name = Field("string")
+
+
+class AutoNation(Model, table="auto_nation"):
+    id = Field("int", pk=True)
+    name = Field("string")
+    region_id = Field("int")
