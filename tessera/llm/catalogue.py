@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import digests
 from .decontaminate import op4_decontamination
 from .fingerprints import op5_order_minhash
 from .neardup import OP10_SQL, op10_near_duplicates
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": corpus_pipeline.run,
+    **digests.QUERIES,
 }
 #: Without the operators that SQL cannot express; those are tested against brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op10_near_duplicates": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op10_near_duplicates": OP10_SQL, **digests.ORACLE_SQL}

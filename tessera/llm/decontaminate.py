@@ -12,6 +12,7 @@ word n-grams in order.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from typing import Literal
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, worker_cache
+from .common import slices, staged, table, worker_cache
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score from which it is retrieved.
@@ -34,6 +35,8 @@ RARE = 0.25
 ITEMS_PER_BLOCK = 64
 #: Items that one index holds; larger benchmarks are searched block of items by block of items.
 MAX_ITEMS = 50_000
+#: Characters of their text, about.
+MAX_BYTES = 64_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -173,34 +176,56 @@ def split_item(x: list[str]) -> tuple[list[str], list[str]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap): one per document row and test item that it holds.
 
-    A map without shuffle over whole texts. Test sets are small beside a corpus; still, an index holds MAX_ITEMS at most,
-    and a larger benchmark is searched in several maps under the statistics of all items. If ``benchmark`` has columns question and answer, those are taken;
-    else the question is the whole item, and the answer, of no words, counts as held. Null and empty texts hold nothing; items without words are left out; equal
-    items are all reported. An empty table on either side gives no rows. Other columns are left out.
+    A map without shuffle over whole texts. Statistics are those of all items, counted as a table. An index holds about
+    MAX_ITEMS items or MAX_BYTES of their text at most, which is what is broadcast at a time; a larger benchmark is dealt to
+    blocks by hash and searched in several maps, with the same hits and scores. If ``benchmark`` has columns question and
+    answer, those are taken; else the question is the whole item, and the answer, of no words, counts as held. Null and empty
+    texts hold nothing; items without words are left out; equal items are all reported. An empty table on either side gives
+    no rows. Very long texts are searched whole. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    if {"question", "answer"} <= set(benchmark.columns):
-        rows = benchmark.select(F.col(item).cast("bigint"), "question", "answer").collect()
-        listed = [(r[0], words(r[1] or ""), words(r[2] or "")) for r in rows]
-    else:
-        listed = [(r[0], words(r[1] or ""), []) for r in benchmark.select(F.col(item).cast("bigint"), F.col(item_text)).collect()]
-    listed = sorted((x for x in listed if x[1] or x[2]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    parts = ("question", "answer") if {"question", "answer"} <= set(benchmark.columns) else (item_text, None)
+    items = benchmark.select(F.col(item).cast("bigint").alias("id"), *(F.col(p).cast("string").alias(f"p{k}") if p else F.lit("").alias(f"p{k}") for k, p in enumerate(parts)))
+    items = staged(items.mapInArrow(_worded, "id bigint, q array<string>, a array<string>"), "items")
+    size = F.size("q") + F.size("a")
+    letters = F.length(F.array_join("q", " ")) + F.length(F.array_join("a", " "))
+    n, mean, longest, weight = items.agg(F.count(F.lit(1)), F.avg(size), F.max(size), F.sum(letters)).first()
+    if not n:
+        return spark.createDataFrame([], schema)
+    blocks = max(-(-n // MAX_ITEMS), -(-weight // MAX_BYTES))
+    items = items.withColumn("block", F.pmod(F.xxhash64("id", "q", "a"), F.lit(blocks)))
+    held = items.select("block", F.explode(F.array_distinct(F.concat("q", "a"))).alias("word"))
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    often = staged(often, "often") if blocks > 1 else often
     rows = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = spark.createDataFrame([], schema) if not listed else None
-    total, mean, longest, often = statistics(listed)
-    for lo in range(0, len(listed), MAX_ITEMS):
-        part = listed[lo : lo + MAX_ITEMS]
-        own = {w: often[w] for _, q, a in part for w in (*q, *a)}
-        found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast((part, (total, mean, longest, own)))), schema)
-        out = found if out is None else out.unionByName(found)
+    out = None
+    for k in range(blocks):
+        own = often if blocks == 1 else often.join(held.where(F.col("block") == k), "word", "left_semi")
+        listed = [(r.id, list(r.q), list(r.a)) for r in items.where(F.col("block") == k).collect()]
+        listed.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+        if listed:
+            index = spark.sparkContext.broadcast((listed, (n, mean, longest, {r.word: r.n for r in own.collect()})))
+            found = rows.mapInArrow(_searcher(index, uuid.uuid4().hex), schema)
+            out = found if out is None else out.unionByName(found)
     return out
 
 
-def _searcher(items):
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items as words; those without any are left out."""
+    kind = pa.list_(pa.string())
+    for batch in batches:
+        rows = [(i, words(q or ""), words(a or "")) for i, q, a in zip(*(c.to_pylist() for c in batch.columns))]
+        rows = [r for r in rows if r[1] or r[2]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], kind)], ["id", "q", "a"])
+
+
+def _searcher(items, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache()
-        index = Index(items.value[0], whole=items.value[1])
+        kept = worker_cache(f"items {name}")
+        if not kept:  # once for a worker, not for each of its tasks
+            kept["index"] = Index(items.value[0], whole=items.value[1])
+        index = kept["index"]
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:

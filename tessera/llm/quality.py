@@ -169,16 +169,20 @@ def featured(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, x array<double>) of documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
-            rows = [features(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+            for part in slices(batch):
+                rows = [features(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return docs.mapInArrow(run, "doc_id bigint, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_SAMPLE) -> Model:
     """A model from at most ``limit`` labelled documents outside fold 1. Labels of an id that disagree count as their mean
-    rounded up; null labels and labels without a document are left out. The driver gets ``limit`` rows of features."""
+    rounded up; null labels, labels without an id and labels without a document are left out; rows that repeat an id all
+    count; null and empty texts have features too. Without documents or labels, or with one class only, the model is a
+    constant. The driver gets ``limit`` rows of features, and as many more as their ids repeat."""
     known = labels.where(F.col(label).isNotNull() & (fold(ids) != 1)).groupBy(F.col(ids).cast("bigint").alias("doc_id")).agg(F.round(F.avg(label)).alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -191,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "
 def scored(docs: DataFrame, model: Model, out: dict[str, str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with score_ (0 to 1), from the whole text; null texts count as empty, which have a score too.
 
-    A map without shuffle. All columns of ``docs`` stay but a score_ of its own; repeated rows score alike.
+    A map without shuffle. All columns of ``docs`` stay but a score_ of its own; repeated rows score alike; very long texts
+    are read whole; an empty table gives no rows.
     """
     names = [c for c in docs.columns if c != "score_"]
     schema = docs.select(names).schema.add("score_", "double")
@@ -208,7 +213,8 @@ def scored(docs: DataFrame, model: Model, out: dict[str, str] | None = None, tex
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents with a score of ``threshold`` or more."""
+    """The documents with a score of ``threshold`` or more, with all of their columns; null ids, null and empty texts are
+    scored like others, equal texts fare alike, and an empty table gives no rows."""
     return scored(docs, train(docs, labels)).where(F.col("score_") >= threshold).drop("score_")
 
 

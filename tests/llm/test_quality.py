@@ -54,3 +54,91 @@ def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     rows = [r for r in op7_quality(spark, DATA).collect() if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows) > 0.9
+
+
+def slow_fit(x, y):
+    """Cyclic boosting by the definition: row by row, split by split, cell by cell."""
+    import math
+
+    import tessera.llm.quality as q
+
+    sigmoid = lambda f: 1 / (1 + math.exp(-f))
+    rate = (sum(y) + 0.5) / (len(y) + 1)
+    start = math.log(rate / (1 - rate))
+    m = len(x[0])
+
+    def cuts(j, n):
+        v = sorted(r[j] for r in x)
+        return sorted({v[max(0, math.ceil(k / n * len(v) - 1e-12) - 1)] for k in range(1, n)})
+
+    fine, coarse = [cuts(j, q.BINS) for j in range(m)], [cuts(j, q.PAIR_BINS) for j in range(m)]
+    bin_of = lambda c, v: sum(e <= v for e in c)
+    f = [start] * len(y)
+    tables = [[0.0] * (len(c) + 1) for c in fine]
+    for _ in range(q.ROUNDS):
+        for j in range(m):
+            g, h = [0.0] * len(tables[j]), [0.0] * len(tables[j])
+            for i, r in enumerate(x):
+                p, b = sigmoid(f[i]), bin_of(fine[j], r[j])
+                g[b] += y[i] - p
+                h[b] += p * (1 - p)
+            step = q.shallow_tree(np.array(g), np.array(h))
+            for b, s in enumerate(step):
+                tables[j][b] += q.RATE * s
+            for i, r in enumerate(x):
+                f[i] += q.RATE * step[bin_of(fine[j], r[j])]
+
+    def grid(a, b):
+        g = np.zeros((len(coarse[a]) + 1, len(coarse[b]) + 1))
+        h = g.copy()
+        for i, r in enumerate(x):
+            p, at = sigmoid(f[i]), (bin_of(coarse[a], r[a]), bin_of(coarse[b], r[b]))
+            g[at] += y[i] - p
+            h[at] += p * (1 - p)
+        return q.cross(g, h)
+
+    ranked = sorted(((grid(a, b)[1], a, b) for a in range(m) for b in range(a)), reverse=True)
+    pairs = [(a, b) for gain, a, b in ranked[: q.PAIRS] if gain > 0]
+    grids = {p: 0.0 for p in pairs}
+    for _ in range(q.PAIR_ROUNDS):
+        for a, b in pairs:
+            step = q.RATE * grid(a, b)[0]
+            grids[a, b] = grids[a, b] + step
+            for i, r in enumerate(x):
+                f[i] += step[bin_of(coarse[a], r[a]), bin_of(coarse[b], r[b])]
+
+    def score(r):
+        out = start + sum(t[bin_of(c, v)] for t, c, v in zip(tables, fine, r))
+        return sigmoid(out + sum(grids[a, b][bin_of(coarse[a], r[a]), bin_of(coarse[b], r[b])] for a, b in pairs))
+
+    return score
+
+
+def test_fit_and_score_against_the_definition(monkeypatch):
+    import tessera.llm.quality as q
+
+    for name, value in (("ROUNDS", 4), ("PAIR_ROUNDS", 2), ("PAIRS", 2), ("BINS", 8), ("PAIR_BINS", 4)):
+        monkeypatch.setattr(q, name, value)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = ((x[:, 0] * x[:, 1] > 0) | (x[:, 2] > 1)).astype(float)
+    fast, slow = fit(x, y), slow_fit(x.tolist(), y.tolist())
+    new = np.round(rng.normal(size=(60, 3)) * 2, 1)
+    assert np.allclose(fast.score(new), [slow(r) for r in new.tolist()]) and np.allclose(fast.score(x), [slow(r) for r in x.tolist()])
+
+
+def test_splits_are_the_best_ones():
+    """Against all ways to cut bins in as many parts: none has a greater gain."""
+    import itertools
+
+    import tessera.llm.quality as q
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        g, h = rng.normal(size=7), rng.uniform(0.5, 2, size=7)
+        got = q.shallow_tree(g, h)
+        first = max(range(1, 7), key=lambda k: sum(g[p].sum() ** 2 / (h[p].sum() + q.PENALTY) for p in (slice(0, k), slice(k, 7))))
+        parts = [list(v) for _, v in itertools.groupby(range(7), key=lambda i: got[i])]
+        assert len(parts) <= 3 and any(p[0] == first for p in parts)
+        for p in parts:
+            assert np.allclose(got[p], g[p].sum() / (h[p].sum() + q.PENALTY))
