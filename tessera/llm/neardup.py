@@ -246,50 +246,61 @@ def common(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) between members (value, rep, n, sketch, set, component, shared) of one list.
+def likely(df: pd.DataFrame) -> np.ndarray:
+    """Which rows (n, sketch, component, shared) of a block sketches and sizes leave as possible links of one another."""
+    n, size = df["n"].to_numpy(), np.array([len(s) for s in df["sketch"]])
+    need = np.minimum(MIN_SHARED, np.ceil(size * 0.75))
+    ok = common(df["sketch"].to_list()) >= np.maximum(need[:, None], need[None, :])
+    shared = df["shared"].to_numpy()
+    ok &= 7 * np.minimum(shared[:, None], shared[None, :]) >= 3 * (n[:, None] + n[None, :])
+    ok &= 100 * np.minimum(n[:, None], n[None, :]) >= 75 * np.maximum(n[:, None], n[None, :])
+    component = df["component"].to_numpy()
+    return ok & (component[:, None] != component[None, :])
+
+
+def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members (value, rep, n, component, shared) of one list.
 
     A list of any length is cut into blocks by a hash; every two blocks meet in one group of at most about 2 * BLOCK rows.
-    There sketches rule most pairs out, full sets confirm the others, and of the links found those come out that join
-    components not yet joined: fewer than there are members, and enough to know what links reach.
+    There sketches rule most pairs out. Only what is left is joined with its full sets, which confirm links, and of these
+    those come out that join components not yet joined: fewer than there are members, and enough to know what links reach.
     """
-    size = members.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
+    size = staged(members.groupBy("value").agg(F.count(F.lit(1)).alias("size")), "sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = members.join(size, "value").withColumn("of", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"i": F.least("of", "other"), "j": F.greatest("of", "other")}).drop("of", "other", "size")
+    rows = rows.withColumns({"i": F.least("of", "other"), "j": F.greatest("of", "other")}).select("value", "i", "j", "rep", "n", "component", "shared")
+
+    def sift(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        worker_cache()
+        df = df.drop_duplicates("rep")
+        return df[likely(df).any(axis=1)]
+
+    schema = "value bigint, i int, j int, rep bigint, n bigint, component bigint, shared bigint, sketch array<bigint>"
+    rows = rows.join(classes.select("rep", "sketch"), "rep").select("value", "i", "j", "rep", "n", "component", "shared", "sketch")
+    rows = staged(rows.groupBy("value", "i", "j").applyInPandas(sift, schema), "likely")
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         worker_cache()
-        df = df.drop_duplicates("rep").sort_values("rep")
-        n, size = df["n"].to_numpy(), np.array([len(s) for s in df["sketch"]])
-        need = np.minimum(MIN_SHARED, np.ceil(size * 0.75))
-        ok = common(df["sketch"].to_list()) >= np.maximum(need[:, None], need[None, :])
-        shared = df["shared"].to_numpy()
-        ok &= 7 * np.minimum(shared[:, None], shared[None, :]) >= 3 * (n[:, None] + n[None, :])
-        ok &= 100 * np.minimum(n[:, None], n[None, :]) >= 75 * np.maximum(n[:, None], n[None, :])
-        component = df["component"].to_numpy()
-        ok &= component[:, None] != component[None, :]
-        some = np.flatnonzero(ok.any(axis=1))
+        df = df.sort_values("rep")
+        ok, both = likely(df), common(df["set"].to_list())
+        n, rep, component = (df[c].to_numpy() for c in ("n", "rep", "component"))
+        linked = ok & (100 * both >= 75 * (n[:, None] + n[None, :] - both))
+        parent = {c: c for c in component.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
         out: list[tuple[int, int]] = []
-        if len(some):
-            both = common(df["set"].iloc[some].to_list())
-            n, rep, component = n[some], df["rep"].to_numpy()[some], component[some]
-            linked = ok[np.ix_(some, some)] & (100 * both >= 75 * (n[:, None] + n[None, :] - both))
-            parent = {c: c for c in component.tolist()}
-
-            def root(c: int) -> int:
-                while parent[c] != c:
-                    parent[c] = c = parent[parent[c]]
-                return c
-
-            for x, y in zip(*(z.tolist() for z in np.nonzero(np.triu(linked, 1)))):
-                p, q = root(component[x]), root(component[y])
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    out.append((rep[x], rep[y]))
+        for x, y in zip(*(z.tolist() for z in np.nonzero(np.triu(linked, 1)))):
+            p, q = root(component[x]), root(component[y])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((rep[x], rep[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("value", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    return rows.join(sets, "rep").groupBy("value", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def apart(members: DataFrame) -> DataFrame:
@@ -326,8 +337,7 @@ def found_groups(docs: DataFrame) -> DataFrame:
         members = entered.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", label)
         rest = staged(apart(able(staged(apart(members), "members"), sets)), "members")
         if not rest.isEmpty():
-            rest = rest.join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
-            links = links.unionByName(staged(block_links(rest), "links"))
+            links = links.unionByName(staged(block_links(rest, classes, sets), "links"))
             found = components(links)
         keep(own, classes, found)
     named = classes.select("k1", "k2", "n", "rep", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", "least", label)

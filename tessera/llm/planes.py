@@ -11,6 +11,7 @@ place, its number of ids and the sizes of its planes, so any block is read witho
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -115,7 +116,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int, cut: Literal["s
         import pyarrow.fs
 
         encode, end = encoder(path, cut), np.array([end_id], dtype="<u4").tobytes()
-        fs, root = pyarrow.fs.FileSystem.from_uri(out)
+        # Spark's names of one store that goes by another name here
+        fs, root = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", out))
         part, seq = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         held, owners, sizes = [], [], []
