@@ -267,8 +267,9 @@ def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
     """
     size = staged(members.groupBy("value").agg(F.count(F.lit(1)).alias("size")), "sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.join(size, "value").withColumn("of", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"i": F.least("of", "other"), "j": F.greatest("of", "other")}).select("value", "i", "j", "rep", "n", "component", "shared")
+    # sketches are joined once for each member, before it is dealt to blocks
+    rows = members.join(classes.select("rep", "sketch"), "rep").join(size, "value").withColumn("of", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"i": F.least("of", "other"), "j": F.greatest("of", "other")}).select("value", "i", "j", "rep", "n", "component", "shared", "sketch")
 
     def sift(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         worker_cache()
@@ -276,7 +277,6 @@ def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
         return df[likely(df).any(axis=1)]
 
     schema = "value bigint, i int, j int, rep bigint, n bigint, component bigint, shared bigint, sketch array<bigint>"
-    rows = rows.join(classes.select("rep", "sketch"), "rep").select("value", "i", "j", "rep", "n", "component", "shared", "sketch")
     rows = staged(rows.groupBy("value", "i", "j").applyInPandas(sift, schema), "likely")
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
