@@ -19,6 +19,8 @@ from .common import table
 
 K = 8
 BUCKETS = 64
+#: Code points from which the place of a k-mer takes more than 24 bits.
+WIDE = 1 << 24
 #: Ids that part documents into ranges, in each of which the next document is looked up: so many a shuffle partition, within
 #: bounds. The driver holds the first ids of all ranges.
 RANGES, LEAST_RANGES, MOST_RANGES = 4, 64, 20_000
@@ -65,10 +67,11 @@ def sketch(df: DataFrame, found: str, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(f"concat(slice(o_, 1, 1), array_compact(zip_with({pairs('o_', 1)}, (x, y) -> if(shiftright(x ^ y, 24) = 0, null, y))))")).drop("o_")
 
 
-def masks(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with low_ and high_: up to 2**24 code points a k-mer is known by 40 bits of its hash, beyond that by 35."""
-    bits = F.when(F.char_length(text) < 1 << 24, (1 << 24) - 1).otherwise((1 << 29) - 1).cast("bigint")
-    return df.withColumn("low_", bits).withColumn("high_", F.bitwise_not("low_"))
+def masks(df: DataFrame, text: str, tag: str = "") -> DataFrame:
+    """``df`` with low_ and high_ (behind ``tag``): below WIDE code points a k-mer is known by 40 bits of its hash, beyond that
+    by 35. Both follow from the text alone, so equal texts have equal fingerprints."""
+    bits = F.when(F.char_length(text) < WIDE, (1 << 24) - 1).otherwise((1 << 29) - 1).cast("bigint")
+    return df.withColumn(f"{tag}low_", bits).withColumn(f"{tag}high_", F.bitwise_not(f"{tag}low_"))
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -135,12 +138,14 @@ def edited_fingerprints(docs: DataFrame, ids: str = "doc_id", text: str = "text"
     df = df.withColumns({"next_": F.coalesce(F.lead("text").over(w), F.lit("")), "row_": F.row_number().over(w), "n_chars": F.char_length("text")})
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.substring("next_", F.lit(1), quarter))).drop("next_")
-    df = kmers(masks(df, "text"), "text", "k").drop("text")
-    # k-mers that end before the edit are those of the text
-    same = f"greatest(n_chars - cast(floor(n_chars / 4) as int) - {K - 1}, 0)"
-    df = kmers(df.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "t", same).drop("edited")
-    df = sketch(df, "k", "a").drop("k_b").withColumn("k", F.concat(F.slice("k", F.lit(1), F.expr(same)), F.col("t"))).drop("t")
-    df = sketch(df.withColumnRenamed("t_b", "k_b"), "k", "b").select("range_", "first_", "row_", "doc_id", "n_chars", "edited_sha256", "a", "b")
+    df = kmers(masks(masks(df, "text"), "edited", "e_"), "text", "k").drop("text")
+    # k-mers that end before the edit are those of the text, unless the two lie on either side of WIDE
+    same = f"if(low_ = e_low_, greatest(n_chars - cast(floor(n_chars / 4) as int) - {K - 1}, 0), 0)"
+    df = df.withColumns({"edited_sha256": F.sha2("edited", 256), "same_": F.expr(same)})
+    swap = {"low_": "e_low_", "high_": "e_high_", "e_low_": "low_", "e_high_": "high_"}
+    df = kmers(df.withColumnsRenamed(swap), "edited", "t", "same_").drop("edited").withColumnsRenamed(swap)
+    df = sketch(df, "k", "a").drop("k_b").withColumn("k", F.concat(F.slice("k", F.lit(1), F.col("same_")), F.col("t"))).drop("t")
+    df = sketch(df.withColumnRenamed("t_b", "k_b").withColumnsRenamed(swap), "k", "b").select("range_", "first_", "row_", "doc_id", "n_chars", "edited_sha256", "a", "b")
     df = df.withColumn("c", F.lead("a").over(Window.partitionBy("range_").orderBy("row_"))).where("not first_")
     near_next = F.when(F.col("c").isNull(), 1.0).otherwise(likeness("a", "c"))
     return df.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", text_of("a").alias("fingerprint"), text_of("b").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), near_next.alias("near_next"))

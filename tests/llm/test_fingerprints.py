@@ -87,3 +87,20 @@ def test_order_matters(spark):
     rows = fingerprint(fingerprint(spark.createDataFrame([(a, moved, a)], "x string, y string, z string"), "x", "a"), "y", "b")
     r = rows.select(likeness("a", "b").alias("m"), likeness("a", "a").alias("s")).first()
     assert r.s == 1.0 and 0.2 < r.m < 0.9
+
+
+def test_equal_texts_on_either_side_of_the_wide_masks(spark, monkeypatch):
+    """An edited text may be shorter than its text, as the next document may be too short to fill it."""
+    import tessera.llm.fingerprints as f
+
+    monkeypatch.setattr(f, "WIDE", 300)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcd ", k=5))
+    rows = [(i, "".join(word() for _ in range(n))[:size]) for i, (n, size) in enumerate([(80, 320), (1, 3), (80, 299), (90, 400), (2, 9), (90, 301), (0, 0), (61, 300)])]
+    got = {r.doc_id: r for r in edited_fingerprints(frame(spark, rows)).collect()}
+    texts = [t for _, t in rows]
+    edited = [(i, t[: len(t) - len(t) // 4] + n[: len(t) // 4]) for (i, t), n in zip(rows, texts[1:] + texts[:1])]
+    assert any(len(e) < 300 <= len(t) for (_, e), t in zip(edited, texts))
+    for column, wanted in (("edited_fingerprint", edited), ("fingerprint", rows)):
+        want = {r.doc_id: r.s for r in fingerprint(frame(spark, wanted), "text", "f").select("doc_id", text_of("f").alias("s")).collect()}
+        assert {i: got[i][column] for i in want} == want
