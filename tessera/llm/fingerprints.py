@@ -143,9 +143,10 @@ def edited_fingerprints(docs: DataFrame, ids: str = "doc_id", text: str = "text"
     same = f"if(low_ = e_low_, greatest(n_chars - cast(floor(n_chars / 4) as int) - {K - 1}, 0), 0)"
     df = df.withColumns({"edited_sha256": F.sha2("edited", 256), "same_": F.expr(same)})
     swap = {"low_": "e_low_", "high_": "e_high_", "e_low_": "low_", "e_high_": "high_"}
-    df = kmers(df.withColumnsRenamed(swap), "edited", "t", "same_").drop("edited").withColumnsRenamed(swap)
+    swapped = lambda x: x.select(*(F.col(swap.get(c, c)).alias(c) for c in x.columns))
+    df = swapped(kmers(swapped(df), "edited", "t", "same_").drop("edited"))
     df = sketch(df, "k", "a").drop("k_b").withColumn("k", F.concat(F.slice("k", F.lit(1), F.col("same_")), F.col("t"))).drop("t")
-    df = sketch(df.withColumnRenamed("t_b", "k_b").withColumnsRenamed(swap), "k", "b").select("range_", "first_", "row_", "doc_id", "n_chars", "edited_sha256", "a", "b")
+    df = sketch(swapped(df.withColumnRenamed("t_b", "k_b")), "k", "b").select("range_", "first_", "row_", "doc_id", "n_chars", "edited_sha256", "a", "b")
     df = df.withColumn("c", F.lead("a").over(Window.partitionBy("range_").orderBy("row_"))).where("not first_")
     near_next = F.when(F.col("c").isNull(), 1.0).otherwise(likeness("a", "c"))
     return df.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", text_of("a").alias("fingerprint"), text_of("b").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), near_next.alias("near_next"))
