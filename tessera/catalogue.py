@@ -215,20 +215,6 @@ def join_inner(e):
     return e.query(Orders).join(Customer, Orders.o_custkey == Customer.c_custkey).select(Orders.o_orderkey, Customer.c_name)
 
 
-@query("""SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS keys
-    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
-def preload_has_many_all(e):
-    return _flat(e.query(Customer).preload("orders").df(), "c_custkey", "orders", "o_orderkey")
-
-
-@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_items FROM customer
-    LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
-def preload_nested_all(e):
-    df = e.query(Customer).preload("orders.items").df()
-    items = F.aggregate("orders", F.lit(0), lambda n, o: n + F.size(o["items"]))
-    return df.select("c_custkey", F.size("orders").cast("bigint").alias("n_orders"), items.cast("bigint").alias("n_items"))
-
-
 @query("SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id AND quality = 1")
 def join_left(e):
     return e.query(Documents).left_join(Labels, (Documents.doc_id == Labels.doc_id) & (Labels.quality == 1)).select(Documents.doc_id, Labels.quality)
@@ -545,10 +531,9 @@ def _flat(df, key, name, child):
 
 
 @query("""SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS keys
-    FROM (SELECT * FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 200) LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY c_custkey""")
 def preload_has_many(e):
-    q = e.query(Customer).where(Customer.c_acctbal > 0.0).order_by(Customer.c_custkey.asc()).limit(200)
-    return _flat(q.preload("orders").df(), "c_custkey", "orders", "o_orderkey")
+    return _flat(e.query(Customer).where(Customer.c_acctbal > 0.0).preload("orders").df(), "c_custkey", "orders", "o_orderkey")
 
 
 @query("""SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS keys
@@ -557,14 +542,6 @@ def preload_has_many_all(e):
     return _flat(e.query(Customer).preload("orders").df(), "c_custkey", "orders", "o_orderkey")
 
 
-@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_items FROM customer
-    LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
-def preload_nested_all(e):
-    df = e.query(Customer).preload("orders.items").df()
-    items = F.aggregate("orders", F.lit(0), lambda n, o: n + F.size(o["items"]))
-    return df.select("c_custkey", F.size("orders").cast("bigint").alias("n_orders"), items.cast("bigint").alias("n_items"))
-
-
 @query("SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id")
 def preload_has_one(e):
     return e.query(Documents).preload("label").df().select("doc_id", F.col("label.quality").alias("quality"))
@@ -581,10 +558,10 @@ def preload_m2m(e):
     return _flat(e.query(Part).where(Part.p_size < 10).preload("suppliers").df(), "p_partkey", "suppliers", "s_suppkey")
 
 
-@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_items FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 100)
+@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_items FROM customer
     LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
 def preload_nested(e):
-    df = e.query(Customer).order_by(Customer.c_custkey.asc()).limit(100).preload("orders.items").df()
+    df = e.query(Customer).preload("orders.items").df()
     items = F.aggregate("orders", F.lit(0), lambda n, o: n + F.size(o["items"]))
     return df.select("c_custkey", F.size("orders").cast("bigint").alias("n_orders"), items.cast("bigint").alias("n_items"))
 
