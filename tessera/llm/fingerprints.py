@@ -92,30 +92,63 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(F.col(a), F.col(b))) / F.greatest(either, F.lit(1)))
 
 
+def starts_of(docs: DataFrame, ids: str, ranges: int) -> tuple[list[tuple[int | None, int]], set[int | None]]:
+    """Starts (id, text hash) of ranges, in order, and the ids that fill several of them, null among them.
+
+    Ids are parted by quantiles. An id that several quantiles hit, and null, is cut into as many equal parts of the hashes.
+    """
+    rows, known, least, cuts = docs.agg(F.count(F.lit(1)), F.count(ids), F.min(ids), F.percentile_approx(ids, [i / ranges for i in range(1, ranges)], 10 * MOST_RANGES)).first()
+    parts: dict[int | None, int] = {None: -(-ranges * (rows - known) // rows)} if rows > known else {}
+    for x in sorted([] if least is None else [least, *cuts]):
+        parts[int(x)] = parts.get(int(x), 0) + 1
+    if least is not None and parts[least] > 1:
+        parts[least] -= 1  # it was counted as the least id, too
+    starts = [(x, -(1 << 63) + (1 << 64) * i // n) for x, n in parts.items() for i in range(n)]
+    return starts, {x for x, n in parts.items() if n > 1 or x is None}
+
+
 def with_next(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` (id, text) with range_ and first_ (a copy that only serves as a next document).
+    """``docs`` (id, text) with hash_ (of the text), range_ and first_ (a copy that only serves as a next document).
 
-    Ranges start at ids of the table (exact-enough quantiles, at most MOST_RANGES longs on the driver). The first document of
-    a range is also put behind the range before, that of the first behind the last; so each document finds the next one in
-    its own range, without one task that sees all ids. Null ids form a range of their own before the first.
+    The order is that of ids, null before all, then of hash_. The first row of a range is also put behind the range before,
+    that of the least id behind the last range and behind the nulls; so each document finds the next one in its own range,
+    without one task that sees all ids or all rows of one id. The driver holds at most twice MOST_RANGES starts. First rows of
+    the parts of a hot id are found by a further look at the table.
     """
     spark = docs.sparkSession
     ranges = min(MOST_RANGES, max(LEAST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    known = docs.where(F.col(ids).isNotNull())
-    least, cuts = known.agg(F.min(ids), F.percentile_approx(ids, [i / ranges for i in range(1, ranges)], 10 * MOST_RANGES)).first()
-    if least is None:
-        return docs.withColumns({"range_": F.lit(-1), "first_": F.lit(False)})
-    starts = sorted({int(least), *map(int, cuts)})
-    at = F.when(F.col(ids).isNull(), -1)
-    # the number of starts that are not above the id, found by bisection over a literal array
-    bounds = F.lit(starts)
+    starts, hot = starts_of(docs, ids, ranges)
+    df = docs.withColumn("hash_", F.xxhash64(text))
+    if not starts:
+        return df.withColumns({"range_": F.lit(0), "first_": F.lit(False)})
+    # the number of starts that are not above the row, found by bisection over literal arrays
     steps = [1 << i for i in reversed(range(len(starts).bit_length()))]
-    found = F.aggregate(F.lit(steps), F.lit(0), lambda a, p: F.when(F.get(bounds, a + p - 1) <= F.col(ids), a + p).otherwise(a))
-    df = docs.withColumn("range_", at.otherwise(found - 1))
-    before = F.when(F.col("range_") == 0, len(starts) - 1).otherwise(F.col("range_") - 1)
-    is_start = F.get(bounds, "range_") == F.col(ids)
-    copies = F.when(is_start & F.col("range_").isNotNull(), F.array(F.struct(F.col("range_").alias("r"), F.lit(False).alias("f")), F.struct(before.alias("r"), F.lit(True).alias("f")))).otherwise(F.array(F.struct(F.col("range_").alias("r"), F.lit(False).alias("f"))))
-    return df.withColumn("copy_", F.explode(copies)).select(ids, text, F.col("copy_.r").alias("range_"), F.col("copy_.f").alias("first_"))
+    id_, hash_ = F.lit([x for x, _ in starts]).cast("array<bigint>"), F.lit([h for _, h in starts]).cast("array<bigint>")
+    not_above = lambda i: (F.get(hash_, i) <= F.col("hash_")) & F.get(id_, i).eqNullSafe(F.col(ids)) | F.col(ids).isNotNull() & F.coalesce(F.get(id_, i) < F.col(ids), F.get(id_, i).isNull() & (i < len(starts)))
+    found = F.aggregate(F.lit(steps), F.lit(0), lambda a, p: F.when(not_above(a + p - 1), a + p).otherwise(a))
+    # a table that reads differently each time (a limit without an order) may hold rows below the first start
+    df = df.withColumn("range_", F.greatest(found - 1, F.lit(0)))
+    # id and hash of the first row of each range; the start itself where that is an id of the table
+    first: dict[int, tuple[int | None, int | None]] = {i: (x, None) for i, (x, _) in enumerate(starts) if x not in hot}
+    if hot:
+        rows = df.where(F.get(F.lit([x in hot for x, _ in starts]), "range_"))
+        first |= {r.range_: (r.x[ids], r.x.hash_) for r in rows.groupBy("range_").agg(F.min(F.struct(ids, "hash_")).alias("x")).collect()}
+    # ranges that hold rows, in order; behind which of them the first row of a range is put as well
+    nulls, named = ([i for i in sorted(first) if (starts[i][0] is None) == null] for null in (True, False))
+    behind: list[list[int]] = [[] for _ in starts]
+    for chain in (nulls, named):
+        for x, y in zip(chain, chain[1:]):
+            behind[y].append(x)
+    if around := named or nulls:
+        behind[around[0]] += [around[-1]] + ([nulls[-1]] if nulls and named else [])
+    target = lambda k: F.get(F.lit([b[k] if len(b) > k else -1 for b in behind]), "range_")
+    own = [first.get(i, (None, 0)) for i in range(len(starts))]
+    first_id, first_hash = (F.get(F.lit(list(x)).cast("array<bigint>"), "range_") for x in zip(*own))
+    is_first = first_id.eqNullSafe(F.col(ids)) & F.coalesce(first_hash == F.col("hash_"), F.lit(True))
+    place = lambda r, f: F.struct(r.alias("r"), F.lit(f).alias("f"))
+    more = F.filter(F.array(target(0), target(1)), lambda r: (r >= 0) & is_first)
+    df = df.withColumn("copy_", F.explode(F.concat(F.array(place(F.col("range_"), False)), F.transform(more, lambda r: place(r, True)))))
+    return df.select(ids, text, "hash_", F.col("copy_.r").alias("range_"), F.col("copy_.f").alias("first_"))
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,17 +160,19 @@ def edited_fingerprints(docs: DataFrame, ids: str = "doc_id", text: str = "text"
 
     The edited text has the last quarter of its code points replaced by the first as many (or all) of the next document in
     ascending id order; behind the last comes the first. Null texts count as empty, whose fingerprint is empty. Equal ids
-    follow one another by their text; rows with a null id follow one another too, and the last takes the first document
-    with an id. A single document is its own next. An empty table gives no rows. One shuffle, by range of ids.
+    follow one another by the hash of their text; rows with a null id follow one another too, and the last takes the first
+    document with an id, or, if there is none, the first of these rows. A single document is its own next. An empty table
+    gives no rows. One shuffle, by range of ids and, where one id fills several ranges, of hashes; only rows with the same id
+    and the same text are not parted.
     """
     from pyspark.sql import Window
 
     df = docs.select(F.col(ids).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     df = with_next(df, "doc_id", "text")
-    w = Window.partitionBy("range_").orderBy(F.col("first_"), F.col("doc_id").asc_nulls_first(), F.col("text"))
+    w = Window.partitionBy("range_").orderBy(F.col("first_"), F.col("doc_id").asc_nulls_first(), F.col("hash_"), F.col("text"))
     df = df.withColumns({"next_": F.coalesce(F.lead("text").over(w), F.lit("")), "row_": F.row_number().over(w), "n_chars": F.char_length("text")})
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.substring("next_", F.lit(1), quarter))).drop("next_")
+    df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.substring("next_", F.lit(1), quarter))).drop("next_", "hash_")
     df = kmers(masks(masks(df, "text"), "edited", "e_"), "text", "k").drop("text")
     # k-mers that end before the edit are those of the text, unless the two lie on either side of WIDE
     same = f"if(low_ = e_low_, greatest(n_chars - cast(floor(n_chars / 4) as int) - {K - 1}, 0), 0)"

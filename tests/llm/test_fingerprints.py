@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pyspark.sql.functions as F
+import pytest
 
 from tessera.llm.fingerprints import BUCKETS, K, edited_fingerprints, fingerprint, likeness, text_of
 
@@ -104,3 +105,31 @@ def test_equal_texts_on_either_side_of_the_wide_masks(spark, monkeypatch):
     for column, wanted in (("edited_fingerprint", edited), ("fingerprint", rows)):
         want = {r.doc_id: r.s for r in fingerprint(frame(spark, wanted), "text", "f").select("doc_id", text_of("f").alias("s")).collect()}
         assert {i: got[i][column] for i in want} == want
+
+
+@pytest.mark.parametrize("ranges", [2, 9, 64])
+def test_hot_ids_are_split(spark, monkeypatch, ranges):
+    """Nulls and one id hold most rows: each row still has the next one in the order of (id, hash of the text) as its next."""
+    import tessera.llm.fingerprints as f
+
+    monkeypatch.setattr(f, "RANGES", 1)
+    monkeypatch.setattr(f, "LEAST_RANGES", ranges)
+    monkeypatch.setattr(f, "MOST_RANGES", ranges)
+    rnd = random.Random(9)
+    some = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    rows = [(None, some(rnd.randint(0, 60))) for _ in range(90)] + [(50, some(rnd.randint(20, 60))) for _ in range(120)]
+    rows += [(i, some(40)) for i in (*range(30), *range(49, 90))] + [(None, None), (None, ""), (50, "same text"), (50, "same text"), (-(1 << 63), "least")]
+    rnd.shuffle(rows)
+    for part in (rows, [r for r in rows if r[0] is None], [r for r in rows if r[0] == 50], [r for r in rows if r[0] is not None]):
+        df = spark.createDataFrame([(i, t or "") for i, t in part], "doc_id bigint, text string")
+        ordered = sorted(df.withColumn("h", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+        nulls, named = ([r.text for r in ordered if (r.doc_id is None) == x] for x in (True, False))
+        chain = nulls + named
+        following = chain[1:] + [(named or nulls)[0]]
+        want = sorted((t, hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()) for t, n in zip(chain, following))
+        got = edited_fingerprints(df).collect()
+        assert sorted(r.edited_sha256 for r in got) == sorted(x for _, x in want)
+        dealt = f.with_next(df).where("not first_").groupBy("range_", "doc_id").count().collect()
+        assert sum(r["count"] for r in dealt) == len(part)
+        if ranges == 64 and len(part) == len(rows):
+            assert max(r["count"] for r in dealt if r.doc_id is None) < 30 and max(r["count"] for r in dealt if r.doc_id == 50) < 40
