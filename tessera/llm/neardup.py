@@ -9,6 +9,8 @@ values, but for a chance of 1.5 in a million at the threshold itself (there the
 are ranked from rare to frequent, and a class enters only the lists of its ``K - MIN_SHARED + 1`` rarest ones: if two share
 MIN_SHARED values, they meet in one of those (the prefix filter). A passage that many documents hold is frequent, so its
 lists stay empty unless a document hardly holds anything else. Sets below K values are kept whole and the bound is exact.
+With ``exact`` all sets are kept whole, so that no link is left to chance, at the price of a list entry for a quarter of all
+shingles in place of 21 a document.
 
 *No list is expanded into all of its pairs.* First each list links its members with its most typical one. Where that joins
 the list to one component, nothing is left. From other lists go the members that hold too few shingles of others for any
@@ -116,11 +118,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, hash, n, k1, k2, sketch): size, key and K least values of each document's set; null keys for empty sets.
+def sketches(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """Rows (doc_id, hash, n, k1, k2, sketch): size, key and K least values of each document's set, or, if exact, all of them;
+    null keys for empty sets.
 
     ``docs`` has rows (doc_id, text, hash), the last one of the text.
     """
+    k = None if exact else K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
@@ -129,7 +133,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingles(texts_of(part.column(1)))
                 keys = [set_key(s) if len(s) else (None, None) for s in sets]
                 n = pa.array([len(s) for s in sets], pa.int64())
-                small = [s[:K] for s in sets]
+                small = [s[:k] for s in sets]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in small]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(small or [np.empty(0, np.int64)]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), n, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists], ["doc_id", "hash", "n", "k1", "k2", "sketch"])
@@ -137,12 +141,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, hash bigint, n bigint, k1 bigint, k2 bigint, sketch array<bigint>")
 
 
-def shared_at_least(size: Column) -> Column:
+def shared_at_least(size: Column, exact: bool) -> Column:
     """How many retained values a set whose sketch has ``size`` values shares with any similar one, at least."""
-    return F.least(F.lit(MIN_SHARED), F.ceil(size * 0.75).cast("int"))
+    least = F.ceil(size * 0.75).cast("int")
+    return least if exact else F.least(F.lit(MIN_SHARED), least)
 
 
-def lists(classes: DataFrame) -> DataFrame:
+def lists(classes: DataFrame, exact: bool = False) -> DataFrame:
     """Rows (value, rep, n, typical) of the inverted lists that a class enters, lists of one member left out.
 
     typical: how frequent a class's values are in all; in a group of edited copies the original has the most.
@@ -154,19 +159,19 @@ def lists(classes: DataFrame) -> DataFrame:
     own = shared.groupBy("rep", "n", "size").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("values"), F.sum("f").alias("typical"))
     # values that no other class retains are the rarest; they take places in the prefix, but propose no pair
     alone = F.col("size") - F.size("values")
-    take = F.col("size") - shared_at_least(F.col("size")) + 1 - alone
+    take = F.col("size") - shared_at_least(F.col("size"), exact) + 1 - alone
     own = own.where(take > 0).select("rep", "n", "typical", F.explode(F.slice("values", F.lit(1), take)).alias("x"))
     return own.select(F.col("x.value").alias("value"), "rep", "n", "typical")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, classes: DataFrame, exact: bool = False) -> DataFrame:
     """The pairs (a, b) that the sketch of their union leaves possible."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, K)
-    both = both.withColumn("u", union)
+    union = F.array_sort(F.array_union("s_a", "s_b"))
+    both = both.withColumn("u", union if exact else F.slice(union, 1, K))
     hits = F.size(F.array_intersect("u", F.array_intersect("s_a", "s_b")))
-    return both.where(hits >= shared_at_least(F.size("u"))).select("a", "b")
+    return both.where(hits >= shared_at_least(F.size("u"), exact)).select("a", "b")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -246,10 +251,12 @@ def common(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def likely(df: pd.DataFrame) -> np.ndarray:
+def likely(df: pd.DataFrame, exact: bool) -> np.ndarray:
     """Which rows (n, sketch, component, shared) of a block sketches and sizes leave as possible links of one another."""
     n, size = df["n"].to_numpy(), np.array([len(s) for s in df["sketch"]])
-    need = np.minimum(MIN_SHARED, np.ceil(size * 0.75))
+    need = np.ceil(size * 0.75)
+    if not exact:
+        need = np.minimum(MIN_SHARED, need)
     ok = common(df["sketch"].to_list()) >= np.maximum(need[:, None], need[None, :])
     shared = df["shared"].to_numpy()
     ok &= 7 * np.minimum(shared[:, None], shared[None, :]) >= 3 * (n[:, None] + n[None, :])
@@ -258,7 +265,7 @@ def likely(df: pd.DataFrame) -> np.ndarray:
     return ok & (component[:, None] != component[None, :])
 
 
-def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame, exact: bool = False) -> DataFrame:
     """Links (a, b) between members (value, rep, n, component, shared) of one list.
 
     A list of any length is cut into blocks by a hash; every two blocks meet in one group of at most about 2 * BLOCK rows.
@@ -274,7 +281,7 @@ def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
     def sift(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         worker_cache()
         df = df.drop_duplicates("rep")
-        return df[likely(df).any(axis=1)]
+        return df[likely(df, exact).any(axis=1)]
 
     schema = "value bigint, i int, j int, rep bigint, n bigint, component bigint, shared bigint, sketch array<bigint>"
     rows = staged(rows.groupBy("value", "i", "j").applyInPandas(sift, schema), "likely")
@@ -282,7 +289,7 @@ def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         worker_cache()
         df = df.sort_values("rep")
-        ok, both = likely(df), common(df["set"].to_list())
+        ok, both = likely(df, exact), common(df["set"].to_list())
         n, rep, component = (df[c].to_numpy() for c in ("n", "rep", "component"))
         linked = ok & (100 * both >= 75 * (n[:, None] + n[None, :] - both))
         parent = {c: c for c in component.tolist()}
@@ -315,29 +322,29 @@ def prepared(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFr
     return docs.withColumn("hash", F.xxhash64("text"))
 
 
-def found_groups(docs: DataFrame) -> DataFrame:
+def found_groups(docs: DataFrame, exact: bool = False) -> DataFrame:
     """Rows (doc_id, hash, n, component, least), one per row of ``docs`` (doc_id, text, hash): a key of the group that the row's
     set belongs to, and the least id in it; both null for empty sets, the least id where a group has none."""
     with scratch(docs.sparkSession) as keep:
-        own = staged(sketches(docs), "sketches")
+        own = staged(sketches(docs, exact), "sketches")
         # a class has a key of its own, so neither rows that share an id nor rows without one are mistaken for others
         classes = own.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))).alias("x"), F.min("hash").alias("of"), F.first("sketch").alias("sketch"))
         classes = classes.select("k1", "k2", "n", F.monotonically_increasing_id().alias("rep"), F.col("x.doc_id").alias("least"), F.coalesce("x.hash", "of").alias("of"), "sketch")
         classes = staged(classes, "classes")
-        entered = staged(lists(classes), "lists")
+        entered = staged(lists(classes, exact), "lists")
         hub = entered.groupBy("value").agg(F.max(F.struct("typical", F.negative("rep").alias("r"))).alias("h"), F.count(F.lit(1)).alias("size"))
         hub = staged(hub.where("size > 1").select("value", F.negative("h.r").alias("hub")), "hubs")
         entered = staged(entered.join(hub, "value"), "lists")
         sets = full_sets(docs, entered.select("rep").distinct().join(classes.select("rep", "least", "of", "k1", "k2"), "rep"))
         star = entered.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        links = staged(confirmed(plausible(star, classes), sets), "links")
+        links = staged(confirmed(plausible(star, classes, exact), sets), "links")
         found = components(links)
         # lists that the first round has not joined to one component, without the members that can have no further link
         label = F.coalesce("component", "rep").alias("component")
         members = entered.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", label)
         rest = staged(apart(able(staged(apart(members), "members"), sets)), "members")
         if not rest.isEmpty():
-            links = links.unionByName(staged(block_links(rest, classes, sets), "links"))
+            links = links.unionByName(staged(block_links(rest, classes, sets, exact), "links"))
             found = components(links)
         keep(own, classes, found)
     named = classes.select("k1", "k2", "n", "rep", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", "least", label)
@@ -345,30 +352,31 @@ def found_groups(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "hash", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left").drop("k1", "k2")
 
 
-def groups(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, ids: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``.
 
     Documents are linked when 100 * intersection >= 75 * union of their shingle sets; component_id is the least id that
     links reach. Empty sets (null and empty texts) are linked with nothing. A row with a null id takes part, but its null
     is never a component: where no other id is reached its component_id is null and it is kept. Rows that share an id but
     not a text are judged by their own sets, each of which takes part. Equal rows share a class, of which one row goes into
-    the search, so copies never multiply. An empty table gives no rows; other columns are left out.
+    the search, so copies never multiply. An empty table gives no rows; other columns are left out. ``exact`` keeps whole sets
+    in place of sketches, so that no link can be lost by chance.
     """
     component = F.coalesce("least", "doc_id")
-    rows = found_groups(prepared(docs, ids, text))
+    rows = found_groups(prepared(docs, ids, text), exact)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, null_ids: Literal["keep", "judge"] = "keep") -> DataFrame:
+def deduplicated(docs: DataFrame, null_ids: Literal["keep", "judge"] = "keep", exact: bool = False) -> DataFrame:
     """``docs`` with one row of each group, one of those with its least id; rows that repeat an id go or stay by their own
     text's group.
 
     Rows with a null id all stay, or, with ``null_ids="judge"``, are judged like others and come behind all ids, so one of
     them stays only where its group has no id. Rows without words (null and empty texts) all stay. Of equal rows one stays;
     very long texts are compared whole; an empty table gives no rows. Other columns stay, whatever their names but ``id_``,
-    ``hash_``, ``stays_`` and ``copies``.
+    ``hash_``, ``stays_`` and ``copies``. ``exact`` as in ``groups``.
     """
-    rows = found_groups(prepared(docs)).where("n > 0" if null_ids == "judge" else "n > 0 and doc_id is not null")
+    rows = found_groups(prepared(docs), exact).where("n > 0" if null_ids == "judge" else "n > 0 and doc_id is not null")
     rows = staged(rows.groupBy("doc_id", "hash").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("copies")), "groups")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))

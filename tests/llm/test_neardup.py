@@ -64,6 +64,22 @@ def test_against_brute_force(spark, monkeypatch, seed, block):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("block", [512, 5])
+def test_exact_groups_leave_nothing_to_sketches(spark, monkeypatch, block):
+    """Sketches so short that they lose most links change nothing where sets are kept whole."""
+    monkeypatch.setattr(neardup, "K", 3)
+    monkeypatch.setattr(neardup, "MIN_SHARED", 3)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = corpus(3)
+    want = brute(rows)
+    df = frame(spark, rows)
+    by = lambda found: {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert by(groups(df, exact=True)) == want
+    assert by(groups(df)) != want
+    kept = {i for i, (n, c) in want.items() if not n or i == c}
+    assert {r.doc_id for r in deduplicated(df, exact=True).collect()} == kept
+
+
 def test_many_far_copies(spark):
     """A hub with copies too far from it, some of which are near one another."""
     rnd = random.Random(7)
