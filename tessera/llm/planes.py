@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, slices, table
+from .common import released, shared_path, slices, table, worker_cache
 from .encode import encoder
 
 MAGIC = b"TSPLANE1"
 BLOCK = 1 << 16
-#: Ids after which a file is closed. One file is what a reading task holds in memory.
+#: Ids after which a file is closed. One file, compressed, is what a reading task holds in memory.
 FILE_IDS = 1 << 22
+#: Ids that a reading task restores at a time, one document at least.
+READ_IDS = 1 << 18
 LEVEL = 3
 
 
@@ -98,6 +100,22 @@ class File:
             at += s
         return restore(planes, n)
 
+    def parts(self, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Consecutive documents (from, to) and their ids: about ``size`` ids at a time, one document at least."""
+        ends = np.cumsum(self.sizes)
+        lo, left, block = 0, np.empty(0, dtype="<u4"), 0
+        while lo < len(self.docs):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
+            n, held = int(ends[hi - 1]) - before, [left]
+            have = len(left)
+            while have < n:
+                held.append(self.read(block))
+                have, block = have + len(held[-1]), block + 1
+            ids = np.concatenate(held)
+            yield lo, hi, ids[:n]
+            lo, left = hi, ids[n:].copy()
+
     def ids(self) -> np.ndarray:
         return np.concatenate([self.read(i) for i in range(len(self.index))] or [np.empty(0, dtype="<u4")])
 
@@ -146,6 +164,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int, cut: Literal["s
                         close()
                         full = 0
         close()
+        released()
         names = ["part", "seq", "file", "n_docs", "n_ids"]
         yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
@@ -160,6 +179,18 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int, cut: Literal["s
     return listed
 
 
+def documents(data: bytes, start: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, start, n_tokens, ids) of a file, READ_IDS ids at a time; ``start``: the ids before it."""
+    file = File(data)
+    for lo, hi, ids in file.parts(READ_IDS):
+        sizes = file.sizes[lo:hi]
+        ends = np.cumsum(sizes)
+        offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
+        raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(file.docs[lo:hi], pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), raw], ["doc_id", "start", "n_tokens", "ids"])
+        start += int(ends[-1])
+
+
 def read_ids(spark: SparkSession, files: list[dict]) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids binary) of all documents in the files, by any store that Spark reads."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
@@ -168,15 +199,11 @@ def read_ids(spark: SparkSession, files: list[dict]) -> DataFrame:
     starts = {f["file"].rpartition("/")[2]: f["start"] for f in files}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()  # this worker may have written, and its encoder is of no use here
         for batch in batches:
             for i in range(batch.num_rows):
-                file = File(batch.column(1)[i].as_py())
-                ids = file.ids()
-                ends = np.cumsum(file.sizes)
-                first = starts[batch.column(0)[i].as_py().rpartition("/")[2]]
-                offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), len(file.docs), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(file.docs, pa.int64()), pa.array(first + ends - file.sizes), pa.array(file.sizes), raw], ["doc_id", "start", "n_tokens", "ids"])
+                yield from documents(batch.column(1)[i].as_py(), starts[batch.column(0)[i].as_py().rpartition("/")[2]])
+        released()
 
     return spark.read.format("binaryFile").load([f["file"] for f in files]).select("path", "content").mapInArrow(run, schema)
 

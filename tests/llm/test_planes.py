@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm.common import shared_path
-from tessera.llm.planes import File, dump, read_ids, restore, transpose, write_ids
+from tessera.llm.planes import File, documents, dump, read_ids, restore, transpose, write_ids
 
 from .conftest import frame
 
@@ -49,3 +49,37 @@ def test_files(spark, monkeypatch):
     assert zlib.crc32(np.array([2], dtype="<u4").tobytes()) == zlib.crc32(bytes(got[1].ids))
     empty = write_ids(df.limit(0), BYTE, shared_path(spark, "ids"), end_id=2)
     assert read_ids(spark, empty).count() == 0
+
+
+def test_a_file_is_read_in_parts(monkeypatch):
+    """No batch holds more ids than asked for, but for a document that is longer on its own."""
+    import tessera.llm.planes as p
+
+    monkeypatch.setattr(p, "READ_IDS", 100)
+    rng = np.random.default_rng(3)
+    sizes = [0, 30, 70, 1, 99, 0, 1000, 5, 100, 101, 0, 0]
+    docs = [None, *range(1, len(sizes))]
+    ids = rng.integers(0, 2**32, size=sum(sizes), dtype=np.uint32)
+    batches = list(documents(dump(ids, docs, sizes, block=64), 7))
+    assert all(b.num_rows == 1 or sum(b.column(2).to_pylist()) <= 100 for b in batches) and len(batches) > 5
+    rows = [r for b in batches for r in b.to_pylist()]
+    starts = [7 + sum(sizes[:i]) for i in range(len(sizes))]
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in rows] == list(zip(docs, starts, sizes))
+    assert [r["ids"] for r in rows] == [ids[a - 7 : a - 7 + n].tobytes() for a, n in zip(starts, sizes)]
+    assert not list(documents(dump(ids[:0], [], []), 0))
+
+
+def test_reading_lets_the_encoder_go(spark):
+    """A worker that wrote before holds no encoder while it reads; tasks give their memory back."""
+    files = write_ids(frame(spark, [(i, f"text {i}") for i in range(40)]).repartition(2), BYTE, shared_path(spark, "ids"), end_id=2)
+    rows = read_ids(spark, files)
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from tessera.llm import common
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(common._CACHES)] * b.num_rows})
+
+    assert {r.n for r in rows.mapInArrow(kept, "n bigint").collect()} == {0}
