@@ -21,6 +21,8 @@ K = 8
 BUCKETS = 64
 #: Code points from which the place of a k-mer takes more than 24 bits.
 WIDE = 1 << 24
+#: Ranks a bucket, on average, that are looked at first in a text of more.
+ENOUGH = 10
 #: Ids that part documents into ranges, in each of which the next document is looked up: so many a shuffle partition, within
 #: bounds. The driver holds the first ids of all ranges.
 RANGES, LEAST_RANGES, MOST_RANGES = 4, 64, 20_000
@@ -45,18 +47,31 @@ def kmers(df: DataFrame, text: str, out: str, start: str = "0") -> DataFrame:
 
 
 def sketch(df: DataFrame, found: str, out: str) -> DataFrame:
-    """``df`` with ``out``: array of (bucket, tuple hash) packed into longs, from what ``kmers`` left in ``found``."""
-    df = df.withColumn("o_", F.expr(f"sort_array({found})"))
+    """``df`` with ``out``: array of (bucket, tuple hash) packed into longs, from what ``kmers`` left in ``found``.
+
+    Of a long text only low ranks are looked at, some ENOUGH a bucket, and repeats; if that leaves a bucket without its two,
+    all ranks are.
+    """
+    top = 64 - (BUCKETS - 1).bit_length()
+    rank = lambda x: f"({x} & {(1 << top) - 1}L)"
+    few = f"cast({float(ENOUGH * BUCKETS << top)}D / size({found}) as bigint)"
+    df = df.withColumns({"o_": F.expr(f"sort_array({found})"), "low_rank_": F.expr(f"if(size({found}) <= {ENOUGH * BUCKETS}, {1 << top}L, {few})")})
     # equal k-mers stand side by side, in the order of the text; the second and later ones take a rank by their number
-    df = df.withColumn("d_", F.expr("array_compact(zip_with(slice(o_, 1, greatest(size(o_) - 1, 0)), slice(o_, 2, greatest(size(o_) - 1, 0)), (x, y) -> if(((x ^ y) & high_) = 0, y, null)))"))
+    before = f"array(concat(array(cast(null as bigint)), o_)), {_NONE}"
+    same = "x <= (get(a, i) | low_)"
+    df = df.withColumn("o_", F.expr(f"aggregate({before}, (none, a) -> filter(o_, (x, i) -> {rank('x')} < low_rank_ or {same}))"))
+    df = df.withColumn("d_", F.expr(f"aggregate({before}, (none, a) -> filter(o_, (x, i) -> {rank('x')} >= low_rank_ or {same}))"))
     df = df.withColumn("g_", F.expr("array_compact(transform(d_, (x, j) -> if(j > 0 and ((x ^ get(d_, j - 1)) & high_) = 0, null, j)))"))
     ends = "concat(slice(g_, 2, greatest(size(g_) - 1, 0)), array(size(d_)))"
     again = f"flatten(zip_with(g_, {ends}, (s, e) -> transform(slice(d_, s + 1, e - s), (x, i) -> (xxhash64(x & high_, i + 1) & high_) | (x & low_))))"
-    df = df.withColumn("o_", F.expr(f"if(size(d_) = 0, o_, sort_array(concat(array_except(o_, d_), {again})))")).drop("d_", "g_")
+    df = df.withColumn("g_", F.expr(f"if(size(d_) = 0, {_NONE}, {again})"))
+    df = df.withColumn("o_", F.expr(f"if(size(d_) = 0, o_, sort_array(concat(array_except(o_, d_), filter(g_, x -> {rank('x')} < low_rank_))))"))
     # the first two of each bucket: those whose second-last neighbour is in another one
-    top = 64 - (BUCKETS - 1).bit_length()
     pairs = lambda c, k: f"slice({c}, 1, greatest(size({c}) - {k}, 0)), slice({c}, {k + 1}, greatest(size({c}) - {k}, 0))"
-    df = df.withColumn("o_", F.expr(f"concat(slice(o_, 1, 2), array_compact(zip_with({pairs('o_', 2)}, (x, y) -> if(shiftright(x ^ y, {top}) = 0, null, y))))"))
+    firsts = lambda c: f"concat(slice({c}, 1, 2), array_compact(zip_with({pairs(c, 2)}, (x, y) -> if(shiftright(x ^ y, {top}) = 0, null, y))))"
+    df = df.withColumn("o_", F.expr(firsts("o_")))
+    df = df.withColumn("d_", F.expr(f"if(size(o_) = {2 * BUCKETS} or low_rank_ = {1 << top}L, {_NONE}, sort_array(concat(array_except({found}, d_), g_)))"))
+    df = df.withColumn("o_", F.expr(f"if(size(d_) = 0, o_, {firsts('d_')})")).drop("d_", "g_", "low_rank_")
     kmer = lambda at: f"substring(b, shiftleft({at}, 2) + 1, {4 * K})"
     place = lambda x: f"cast({x} & low_ as int)"
     pair = f"if((x & low_) < (y & low_), xxhash64({kmer(place('x'))}, {kmer(place('y'))}), xxhash64({kmer(place('y'))}, {kmer(place('x'))}))"

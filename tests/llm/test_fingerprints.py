@@ -133,3 +133,16 @@ def test_hot_ids_are_split(spark, monkeypatch, ranges):
         assert sum(r["count"] for r in dealt) == len(part)
         if ranges == 64 and len(part) == len(rows):
             assert max(r["count"] for r in dealt if r.doc_id is None) < 30 and max(r["count"] for r in dealt if r.doc_id == 50) < 40
+
+
+@pytest.mark.parametrize("enough", [0, 1, 2, 10])
+def test_low_ranks_first(spark, monkeypatch, enough):
+    """Whatever share of the ranks is looked at first, the fingerprint is that of all of them; of a long text few are."""
+    import tessera.llm.fingerprints as f
+
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices("abcdefghij ", k=n)) for n in (90, 400, 700, 1400, 5000)] + ["ab" * 1500, "same line again\n" * 200, "x" * 2000]
+    texts += ["".join(rnd.choice(["one more ", "line of text ", "that repeats ", "é😀 "]) for _ in range(n)) for n in (40, 400)]
+    monkeypatch.setattr(f, "ENOUGH", enough)
+    df = fingerprint(frame(spark, list(enumerate(texts))), "text", "f")
+    assert {r.text: list(r.f) for r in df.collect()} == brute(spark, texts)
