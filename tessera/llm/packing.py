@@ -48,16 +48,34 @@ OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.in
 OUT_DDL = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
-def cells(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, document, occurrences) of the ids of documents, by term and document."""
+def cells(docs: list[np.ndarray], by_doc: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, occurrences) of the ids of documents, by term and document, or by document and term."""
     flat = np.concatenate(docs).astype(np.int64) if docs else np.empty(0, dtype=np.int64)
-    flat <<= 32
-    flat |= np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    if by_doc:
+        doc <<= 32
+    else:
+        flat <<= 32
+    flat |= doc
     flat.sort()
     opens = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, dtype=np.int64)
     tf = np.diff(np.append(opens, len(flat))).astype(np.int32)
     flat = flat[opens]
-    return (flat >> 32).astype(np.int32), (flat & 0xFFFFFFFF).astype(np.int32), tf
+    high, low = (flat >> 32).astype(np.int32), (flat & 0xFFFFFFFF).astype(np.int32)
+    return (low, high, tf) if by_doc else (high, low, tf)
+
+
+def holders(docs: list[np.ndarray]) -> np.ndarray:
+    """The number of documents that hold an id, by id."""
+    flat = np.concatenate(docs).astype(np.int64) if docs else np.empty(0, dtype=np.int64)
+    place, last = np.arange(len(flat)), np.zeros(int(flat.max(initial=-1)) + 1, dtype=np.int64)
+    counts, lo = np.zeros(len(flat), dtype=bool), 0
+    for hi in np.cumsum([len(d) for d in docs], dtype=np.int64).tolist():
+        # of the places of an id in a document one stays, and that one counts
+        last[flat[lo:hi]] = place[lo:hi]
+        counts[lo:hi] = last[flat[lo:hi]] == place[lo:hi]
+        lo = hi
+    return np.bincount(flat[counts], minlength=len(last))
 
 
 def impact(idf: np.ndarray, tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
@@ -270,11 +288,11 @@ def frequencies(pool: DataFrame, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                ids = np.unique(np.frombuffer(x, dtype=kind))
-                if ids[-1] >= len(seen):
-                    seen = np.append(seen, np.zeros(int(ids[-1]) + 1 - len(seen), dtype=np.int64))
-                seen[ids] += 1
+            for x in slices(batch, "ids"):
+                some = holders([np.frombuffer(i, dtype=kind) for i in x.column(0).to_pylist()])
+                if len(some) > len(seen):
+                    seen = np.append(seen, np.zeros(len(some) - len(seen), dtype=np.int64))
+                seen[: len(some)] += some
         terms = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(seen[terms])], ["term", "df"])
 
@@ -307,16 +325,14 @@ class Axes:
         self.middle = np.median(self.along(sample), axis=0)
 
     def vectors(self, docs: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms, documents and impacts, those of a document as a vector of length 1."""
-        term, doc, tf = cells(docs)
+        """Terms, documents and impacts by document, those of each as a vector of length 1."""
+        term, doc, tf = cells(docs, by_doc=True)
         weight = impact(idf[term], tf, np.array([len(d) for d in docs], dtype=np.int64)[doc], self.mean)
         length = np.sqrt(np.bincount(doc, weights=np.square(weight), minlength=len(docs)))
         return term, doc, weight / length[doc].astype(np.float32)
 
     def along(self, docs: list[np.ndarray]) -> np.ndarray:
         term, doc, weight = self.vectors(docs, self.idf)
-        order = np.argsort(doc, kind="stable")
-        term, weight = term[order], weight[order]
         starts = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(docs)))))
         out = np.zeros((len(docs), self.axes.shape[1]), dtype=np.float32)
         for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):

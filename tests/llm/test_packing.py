@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import tessera.llm.packing as packing
-from tessera.llm.packing import Index, pack, pack_shard
+from tessera.llm.packing import Index, cells, holders, pack, pack_shard
 
 from .conftest import frame
 
@@ -131,3 +131,14 @@ def test_neighbours_are_those_of_the_whole_table(spark, monkeypatch):
     again = pack(df.coalesce(1), WORD, end_id=1, window=256).collect()
     windows = lambda rows: sorted(sorted((r.doc_id, r.start, r.length) for r in rows if r.sequence_id == s) for s in {r.sequence_id for r in rows})
     assert windows(got) == windows(again)
+
+
+def test_counts_of_holders_and_cells_by_document():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 300, size=n).astype("<u2") for n in (0, 1, 5, 700, 0, 2047, 60)] + [np.full(40, 65535, dtype="<u2")] * 3
+    wanted = np.zeros(65536, dtype=np.int64)
+    for d in docs:
+        wanted[np.unique(d)] += 1
+    assert np.array_equal(holders(docs), wanted) and len(holders([])) == len(holders(docs[:1])) == 0
+    rows = sorted((int(d), int(t), int(n)) for t, d, n in zip(*cells(docs)))
+    assert [(int(d), int(t), int(n)) for t, d, n in zip(*cells(docs, by_doc=True))] == rows
