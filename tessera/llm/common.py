@@ -72,6 +72,19 @@ def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
     drop_staged(spark, since, kept)
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when its action ends, not when the driver next collects its garbage. For chains of
+    staged tables, of which no action needs the shuffles of another."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _CACHES: dict[str, dict] = {}
 
 

@@ -4,7 +4,7 @@ import re
 import pytest
 
 import tessera.llm.neardup as neardup
-from tessera.llm.neardup import deduplicated, groups, shingles
+from tessera.llm.neardup import deduplicated, found_groups, groups, marked, prepared, shingles
 
 from .conftest import DATA, frame, needs_data
 
@@ -156,3 +156,34 @@ def test_rows_without_ids_are_judged_on_demand(spark):
     nulls = [t for i, t in left if i is None]
     assert sum(t in (z, near(z)) for t in nulls) == 1 and not {x, near(u)} & set(nulls) and sorted(map(str, nulls))[:2] == ["", "None"] and len(nulls) == 3
     assert deduplicated(df.limit(0), null_ids="judge").count() == 0
+
+
+def test_marked_rows_are_all_the_wanted_and_few_others(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("if(id = 7, null, id) as i", "id * 3 as h")
+    wanted = rows.where("i is null or i % 1000 = 1").selectExpr("i as a", "h as b")
+    need = {(r.a, r.b) for r in wanted.collect()}
+    got = [(r.i, r.h) for r in marked(rows, ["i", "h"], wanted, ["a", "b"]).collect()]
+    assert len(got) == len(set(got)) and need <= set(got) and len(got) < 3_000
+    monkeypatch.setattr(neardup, "MAP_WORDS", 1)
+    assert need <= {(r.i, r.h) for r in marked(rows, ["i", "h"], wanted, ["a", "b"]).collect()}
+    assert not marked(rows, ["i", "h"], wanted.limit(0), ["a", "b"]).collect()
+
+
+def test_disk_is_given_back_on_the_way(spark, monkeypatch):
+    """No shuffle outlives its step, all shingles of sets are counted once, and a map of bits takes texts for them."""
+    plans, staged = [], neardup.staged
+
+    def seen(df, what):
+        plans.append((what, df._jdf.queryExecution().analyzed().toString()))
+        return staged(df, what)
+
+    monkeypatch.setattr(neardup, "staged", seen)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    df = frame(spark, corpus(1))
+    before = tracker.shuffleStatuses().size()
+    found = found_groups(prepared(df))
+    assert tracker.shuffleStatuses().size() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert found.count() == df.count()
+    assert [w for w, p in plans if "explode(set#" in p] == ["able"]
+    assert [w for w, p in plans if "bit_or(" in p and "text#" in p] == ["sets"]
