@@ -20,6 +20,10 @@ from ..model import Model
 from ..plans.lower import Scope, quoted
 from ..sources.store import Store, Version, cast_to
 
+#: Rows given as Python objects whose keys, if they are no more, are sent to all tasks, so that the table that they are
+#: looked up in is neither moved nor sorted.
+SENT_ROWS = 100_000
+
 
 # values of computed upserts
 
@@ -124,6 +128,11 @@ class Insert:
         rows = list(self.rows) if isinstance(self.rows, (list, tuple)) else [self.rows]
         return [stored_form(self.model, r.patch() if isinstance(r, Model) else dict(r)) for r in rows]
 
+    def _few(self) -> bool:
+        """Whether the keys of the incoming rows are sent to all tasks. Spark knows the size of a DataFrame's rows, which are
+        written, and decides by itself."""
+        return not isinstance(self.rows, DataFrame) and (not isinstance(self.rows, (list, tuple)) or len(self.rows) <= SENT_ROWS)
+
     def sql(self) -> str:
         """The statement as text that can be pasted, for logs and previews; nothing is written."""
         from ..render import insert_sql
@@ -150,7 +159,7 @@ class Insert:
         try:
             src, top = _with_keys(src, v, meta.pk)
             if self.action is None:
-                _check_new(engine, v, src)
+                _check_new(engine, v, src, few=self._few())
                 segment = engine.store.write(cast_to(src, v.struct), meta.table)
                 engine.stage(self.model, v.with_segments([*v.segments, segment], top))
                 out = engine.store.read(v, [segment])
@@ -173,15 +182,19 @@ class Insert:
         src = src.drop("order_")
         same = lambda a, b: [F.col(f"{a}.`{k}`") == F.col(f"{b}.`{k}`") for k in keys]
         both = lambda: _all(same("tgt", "src"))
-        new = src.alias("src").join(engine.store.read(v).alias("tgt"), both(), "left_anti")
+        mine = src.select(*keys)
+        mine = (F.broadcast(mine) if self._few() else mine).alias("src")
         others = [u for u in (v.pk, *v.unique) if u and set(u) != set(keys)]
         if self.action == "nothing":
-            _check_new(engine, v, new, others)
+            # the keys that exist are found first, among the incoming ones: what is built and sent never is the table
+            old = engine.store.read(v).select(*keys).alias("tgt").join(mine, both(), "left_semi")
+            new = src.alias("src").join(old.alias("tgt"), both(), "left_anti")
+            _check_new(engine, v, new, others, few=self._few())
             segment = engine.store.write(cast_to(new, v.struct), table)
             engine.stage(self.model, v.with_segments([*v.segments, segment], top))
             return engine.store.read(v, [segment])
         # only files with a matching row are rewritten; the rest stays as it is
-        hit = [tuple(r[0]) for r in engine.store.with_file(v).alias("tgt").join(src.alias("src"), both(), "left_semi").select("file_").distinct().collect()] if v.segments else []
+        hit = [tuple(r[0]) for r in engine.store.with_file(v).alias("tgt").join(mine, both(), "left_semi").select("file_").distinct().collect()] if v.segments else []
         old = engine.store.read_files(v, hit).withColumn("old_", F.lit(True)).alias("tgt")
         merged = old.join(src.withColumn("new_", F.lit(True)).alias("src"), both(), "full")
 
@@ -324,8 +337,9 @@ def rewrite(engine: Any, model: type[Model], p: Predicate | None, patch: dict[st
     meta, store = model.__meta__, engine.store
     v = engine.version(model)
     scope = Scope([meta.table], meta.table)
-    matched = F.lit(True) if p is None else F.coalesce(scope.predicate(p), F.lit(False))
-    counts = store.touched(v, matched, meta.table)
+    found = F.lit(True) if p is None else scope.predicate(p)
+    matched = F.coalesce(found, F.lit(False))
+    counts = store.touched(v, found, meta.table)
     n = sum(counts.values())
     if expected is not None and n != expected:
         raise AffectedMismatch(f"{meta.table}: {n} rows match, {expected} expected")
@@ -400,14 +414,17 @@ def _with_keys(src: DataFrame, v: Version, pk: list[str]) -> tuple[DataFrame, in
     return src, top
 
 
-def _check_new(engine: Any, v: Version, src: DataFrame, keys: list[tuple[str, ...]] | None = None) -> None:
-    """No incoming row may repeat a key of the table or of another incoming row."""
+def _check_new(engine: Any, v: Version, src: DataFrame, keys: list[tuple[str, ...]] | None = None, few: bool = False) -> None:
+    """No incoming row may repeat a key of the table or of another incoming row.
+
+    The table is the side that streams: Spark builds the right side of a semi-join, which the incoming keys are.
+    """
     for u in (v.pk, *v.unique) if keys is None else keys:
         if u:
             mine = src.where(_all_set(list(u))).select(*u)
             if mine.groupBy(*u).count().where("count > 1").limit(1).count():
                 raise ConstraintError(f"two incoming rows have the same {', '.join(u)}")
-            if v.segments and mine.join(engine.store.read(v).select(*u), list(u), "left_semi").limit(1).count():
+            if v.segments and engine.store.read(v).select(*u).join(F.broadcast(mine) if few else mine, list(u), "left_semi").limit(1).count():
                 raise ConstraintError(f"there is a row with the same {', '.join(u)}")
 
 
