@@ -63,3 +63,21 @@ def test_few_keys_are_sent_and_the_table_streams(engine, ran):
         engine.insert(PItems(id=7, name="again")).execute()
     rows = {r.id: r.name for r in engine.query(PItems).all()}
     assert len(rows) == 1002 and rows[5] == "n5" and rows[2000] == "y"
+
+
+def test_parts_are_written_without_a_sort(engine, ran, spark):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    plans = ran(lambda: engine.delete(PItems).where(PItems.id < 10).execute())
+    writes = [p for p in plans if "WriteFiles" in p or "InsertIntoHadoopFs" in p]
+    assert writes and not any(re.search(r"\bSort\b", p) for p in writes)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert sorted(r.id for r in engine.query(PItems).all()) == list(range(10, 1000))
+    engine.insert_batch(PItems, [PItems(id=10, name="ten"), PItems(id=1, name="one")]).on_conflict([PItems.id], [PItems.name]).execute()
+    rows = {r.id: r.name for r in engine.query(PItems).all()}
+    assert len(rows) == 991 and rows[10] == "ten" and rows[1] == "one" and rows[11] == "n11"
+
+
+def test_conditions_reach_the_files_that_are_searched(engine, ran):
+    plans = ran(lambda: engine.delete(PItems).where(PItems.id < 10).execute())
+    searched = [p for p in plans if "input_file_name" in p]
+    assert searched and all("LessThan(id,10)" in p for p in searched)
