@@ -21,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, worker_cache
+from .common import released, slices, table, worker_cache
 
 #: Classes of code points that the splitter tells apart. The order is that of the columns of its table.
 OTHER, LETTER, NUMBER, SPACE, WHITE, APOSTROPHE, END = range(7)
 CHUNK = 128
 #: Bytes of text that are counted at a time, at about 50 bytes of arrays each.
-SLICE = 4_000_000
+SLICE = 1_000_000
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 #: The most states a merger keeps; beyond that its table starts anew, which costs time and changes no count.
 MAX_STATES = 120_000
+#: Answers about pairs of tokens that a merger keeps, of some 150 bytes each; beyond that they are worked out anew.
+MAX_PAIRS = 100_000
 #: The most tokens below a trie node for which open starts are told apart by what can come of them.
 FEW = 16
 
@@ -206,13 +208,13 @@ class Merger:
                 found += [self.token[child]] * (self.token[child] >= 0) + list(rest)
             self.below[node] = tuple(found) if len(found) <= FEW else None
         self.pair_ok: dict[tuple[int, int], bool] = {}
-        self.kinds: dict[tuple, int] = {}
         self.clear()
 
     def clear(self) -> None:
         #: A state: (trie node, token before its start, tokens before its start less those of the whole prefix) of each open start.
         self.index: dict[tuple, int] = {}
         self.items: list[tuple] = []
+        self.kinds: dict[tuple, int] = {}
         self.next = np.full((1024, 256), -1, dtype=np.int32)
         self.gain = np.zeros((1024, 256), dtype=np.int8)
         self.state(((0, -1, 0),))
@@ -242,6 +244,8 @@ class Merger:
         if a < 0:  # at the start; every token in the trie stays whole
             return True
         if (ok := self.pair_ok.get((a, b))) is None:
+            if len(self.pair_ok) >= MAX_PAIRS:
+                self.pair_ok.clear()
             ok = self.pair_ok[a, b] = self._follows(a, b) if self.ordered else self.encode(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return ok
 
@@ -392,6 +396,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, ids: str = "doc_i
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 size = pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(count(texts))], [ids, "n_bytes", "n_tokens"])
+        released()
 
     rows = docs.select(F.col(ids), F.col(text).alias("text")).mapInArrow(run, schema)
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
