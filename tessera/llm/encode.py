@@ -20,8 +20,9 @@ import pyarrow.compute as pc
 from .common import worker_cache
 from .tokens import byte_symbols
 
-#: Pieces that a worker keeps, of some 50 bytes each. On overflow half of them stay, those used last.
-CACHE = 200_000
+#: Pieces that a worker keeps, of some 50 bytes each. On overflow half of them stay, those used last. A slice of text may hold
+#: more than 100,000 distinct ones: fewer than several slices' worth would be encoded again and again.
+CACHE = 600_000
 #: Ends of pieces (marks and the like) that a worker keeps.
 TAILS = 20_000
 JOIN = 256
